@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from incipit.llm import chat_format, url_filters
+from incipit.llm import bpe, chat_format, simhash, url_filters
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_simhash": simhash.op3_simhash,
+    "op7_bpe": bpe.op7_bpe,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
