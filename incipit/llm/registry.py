@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from incipit.llm import bpe, chat_format, simhash, url_filters, warc
+from incipit.llm import bpe, chat_format, mixing, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op3_simhash": simhash.op3_simhash,
     "op6_warc": warc.op6_warc,
     "op7_bpe": bpe.op7_bpe,
+    "op8_mixing": mixing.op8_mixing,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
     "op1_chat_format": chat_format.oracle(),
     "op6_warc": warc.oracle(),
+    "op8_mixing": mixing.oracle(),
     "op10_url_filters": url_filters.oracle(),
 }
