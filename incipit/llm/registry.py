@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from incipit.llm import bpe, chat_format, mixing, simhash, url_filters, warc
+from incipit.llm import bpe, chat_format, mixing, secrets, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
