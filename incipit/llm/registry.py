@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from incipit.llm import bpe, chat_format, mixing, quality, secrets, simhash, url_filters, warc
+from incipit.llm import ann, bpe, chat_format, mixing, quality, secrets, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_ann": ann.op4_ann,
     "op6_warc": warc.op6_warc,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
