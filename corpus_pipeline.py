@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least doc_id) of each group stays; fingerprints of five-word shingles."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document (the least doc_id) of each group stays; shingles and bits as the contract of op3 has them."""
+    return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
