@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from incipit.llm import ann, bpe, chat_format, mixing, quality, secrets, simhash, url_filters, warc
+from incipit.llm import ann, bpe, chat_format, licenses, mixing, quality, secrets, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_ann": ann.op4_ann,
+    "op5_licenses": licenses.op5_licenses,
     "op6_warc": warc.op6_warc,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat_format.oracle(),
+    "op5_licenses": licenses.oracle(),
     "op6_warc": warc.oracle(),
     "op8_mixing": mixing.oracle(),
     "op10_url_filters": url_filters.oracle(),
