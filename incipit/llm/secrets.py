@@ -78,8 +78,10 @@ def random_strings(spark, samples: int) -> DataFrame:
 
 def ordinary_strings(docs: DataFrame, train_docs: int) -> DataFrame:
     """Label ordinary: words of the sampled documents outside base matches, alone and joined to longer identifiers."""
-    text = F.coalesce("text", F.lit(""))
-    some = docs.select(text.alias("text"), F.xxhash64(F.col("doc_id"), F.length(text)).alias("h")).orderBy("h", "text").limit(train_docs)
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    # Only hashes meet in one task; the sample's texts are then taken where they are.
+    cutoff = hashed.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= F.lit(cutoff).cast("long"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX, " "), ACCESS, " ")
     words = F.filter(F.regexp_extract_all(clean, F.lit(f"([{RUN_CLASS}]+)"), F.lit(1)), lambda w: F.length(w) >= 2)
     joined = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0)), F.lit(7)), lambda k: F.concat_ws("_", F.get("w", k), F.get("w", k + 1)))
