@@ -1,6 +1,5 @@
 """Registered queries of the library and their oracle SQL."""
 
-from __future__ import annotations
+from incipit.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
