@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incipit.scale import small
+from incipit.scale import cut, small
 
 
 @dataclass(frozen=True)
@@ -92,24 +92,25 @@ def format_chats(rows: DataFrame, template: Template = INSTRUCT, chunk_turns: in
     """conv_id, formatted, segments array<struct<text, loss>>, valid (turn order), one row per conversation."""
     t = template
     rows = rows.select("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    chunks = (
-        rows.groupBy("conv_id", "chunk")
-        .agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .select("conv_id", "chunk", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-        .withColumn("steps_ok", F.forall(F.zip_with(F.slice("turns", 1, F.greatest(F.size("turns") - 1, F.lit(0))), F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(1))), lambda a, b: step_ok(a["role"], b["role"], t)), lambda x: x))
-        .select("conv_id", "chunk", segments_of(F.col("turns"), t).alias("segments"), F.get("turns", F.lit(0))["role"].alias("first"), F.element_at("turns", -1)["role"].alias("last"), "steps_ok")
-        .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
-    )
-    done = lambda d, inner: d.select("conv_id", "formatted", "segments", (inner & step_ok(F.lit(""), F.col("first"), t) & F.col("last").isin(*t.final)).alias("valid"))
+    # Conversations with turns beyond the first chunk: found by a scan of two columns, mostly none. Rows part before they are
+    # grouped, so each row is shuffled once, and rows of long conversations a second time as chunks.
+    rows = rows.withColumn("key", F.struct("conv_id"))
+    long = small(cut(rows.where("chunk <> 0 or chunk is null").select("key").distinct(), "chat-long"))
+
+    def chunked(part: DataFrame) -> DataFrame:
+        return (
+            part.groupBy("conv_id", "chunk")
+            .agg(F.sort_array(F.collect_list("t")).alias("turns"))
+            .select("conv_id", "chunk", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+            .withColumn("steps_ok", F.forall(F.zip_with(F.slice("turns", 1, F.greatest(F.size("turns") - 1, F.lit(0))), F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(1))), lambda a, b: step_ok(a["role"], b["role"], t)), lambda x: x))
+            .select("conv_id", "chunk", segments_of(F.col("turns"), t).alias("segments"), F.get("turns", F.lit(0))["role"].alias("first"), F.element_at("turns", -1)["role"].alias("last"), "steps_ok")
+            .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+        )
 
-    # Conversations with turns beyond the first chunk: found by a scan of two columns, mostly none.
-    key = F.struct("conv_id").alias("key")
-    long = rows.where("chunk <> 0 or chunk is null").select(key).distinct()
-    long = small(long)
-    keyed = chunks.withColumn("key", F.struct("conv_id"))
-    one = done(keyed.join(long, "key", "left_anti").where("chunk is not null"), F.col("steps_ok"))
+    done = lambda d, inner: d.select("conv_id", "formatted", "segments", (inner & step_ok(F.lit(""), F.col("first"), t) & F.col("last").isin(*t.final)).alias("valid"))
+    one = done(chunked(rows.join(long, "key", "left_anti")), F.col("steps_ok"))
     many = (
-        keyed.join(long, "key", "left_semi")
+        chunked(rows.join(long, "key", "left_semi"))
         .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("chunk", "formatted", "segments", "first", "last", "steps_ok"))).alias("c"))
         .select(

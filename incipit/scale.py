@@ -28,7 +28,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again; the lineage ends there. Returns the frame and its path."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its streams need no direct buffers, which only a collection frees
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
