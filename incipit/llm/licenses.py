@@ -5,7 +5,14 @@ threshold for a template if it holds one of the template's telling words (the no
 threshold; short, common words are taken last), so lines without any such word are skipped without loss. Distinct lines are scored once for the whole corpus: their word
 weights join the templates' weights by word, and cosines are grouped sums.
 
-A licence file is one named like it, or one whose every line with a word is a notice. Other files without a licence of
+Headers and licence texts run over lines and are found in the file's words as a whole: comment marks and line ends are no
+words, and the score of a standard text (see licence_standards) is the share of its distinct 3-word shingles that the file
+holds, whatever else stands around them. Of the texts at the threshold the one with most shingles in the file wins (a
+BSD-3 text holds BSD-2 too). A file's licence is its SPDX-License-Identifier (several are joined by AND), else such a
+text, else its best line (or licence file as a whole), else a one-sentence notice wrapped over lines.
+
+A licence file is one named like it, one whose every line with a word is a notice or SPDX line, or one of which a standard
+text makes up `WHOLE` of the shingles. Other files without a licence of
 their own take that of the nearest ancestor directory with a licence file: distinct directories are expanded to their ancestors and
 joined with licence directories, the deepest match wins, and files join their directory's result.
 
@@ -24,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from incipit.llm.licence_standards import standards
+from incipit.llm.quality import let
 from incipit.scale import cut, small
 
 #: Notices that authors put in files, as the licences' own texts word them.
@@ -43,6 +52,9 @@ THRESHOLD = 0.7
 #: Function words, which carry no weight in any segment.
 STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "in", "is", "it", "may", "not", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you")
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9.+:-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[a-z0-9.+:-]+)*|\([a-z0-9.+:() \t-]+\))"
+#: Share of a file's shingles that a standard text must make up for the file to be a licence file by its contents.
+WHOLE = 0.9
 LICENCE_NAME = "(?i)(^|/)(licen[sc]e|copying|notice)(\\.[a-z]+)?$"
 
 
@@ -85,6 +97,51 @@ def matched(segments: DataFrame, weights: Weights, threshold: float) -> DataFram
     return scored.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
+def shingles(text: Column) -> Column:
+    """Hashes of the 3-word shingles of a text, without words that mark comments."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(?im)^[ \t]*(?:dnl|rem)[ \t]", "")), F.lit(f"({WORD})"), F.lit(1))
+    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2)))
+    return let(words, lambda w: F.when(F.size(w) >= 3, hashed(w)).otherwise(F.array().cast("array<bigint>")))
+
+
+def needed_words(texts: list[str], threshold: float) -> set[str]:
+    """Words of which a file needs one: less than the threshold of any text's shingles are free of them all."""
+    need: set[str] = set()
+    for text in texts:
+        words = re.findall(WORD, text.lower())
+        left = {g for g in zip(words, words[1:], words[2:])}
+        least = threshold * len(left)
+        left = {g for g in left if not need & set(g)}
+        while len(left) >= least:
+            count = Counter(w for g in left for w in set(g) if w not in STOPWORDS and len(w) > 3) or Counter(w for g in left for w in g)
+            word = min(count, key=lambda w: (-count[w], w))
+            need.add(word)
+            left = {g for g in left if word not in g}
+    return need
+
+
+def declared(files: DataFrame, wordy: Column, named: Column, threshold: float) -> DataFrame:
+    """What SPDX lines, standard texts and wrapped notices say: path, named, kind (0, 1, 3), n, license, score, notices, wordy, whole."""
+    spark = files.sparkSession
+    long = standards()
+    texts = [(k, name, 1 if k < len(long) else 3, text) for k, (name, text) in enumerate([*long, *TEMPLATES])]
+    need = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(needed_words([t[3] for t in texts], threshold))) + ")(?![a-z0-9])"
+    table = cut(spark.createDataFrame(texts, "template int, license string, kind int, text string").withColumn("s", F.array_distinct(shingles(F.col("text")))), "license-standards")
+    sizes = table.select("template", "license", "kind", F.size("s").alias("all"))
+    grams = cut(table.select("template", F.explode("s").alias("s")).groupBy("s").agg(F.collect_list("template").alias("templates")), "license-shingles")
+    # Shingles meet the standards' (some ten thousands, whatever the input) where they are read; only those found are written.
+    exploded = files.where(F.lower("text").rlike(need)).select("path", named.alias("named"), wordy.alias("wordy"), F.monotonically_increasing_id().alias("row"), shingles(F.col("text")).alias("all")).select("path", "named", "wordy", "row", F.size("all").alias("own"), F.explode("all").alias("s"))
+    held = cut(exploded.join(F.broadcast(grams), "s"), "license-held")
+    held = held.select("path", "named", "wordy", "row", "own", "s", F.explode("templates").alias("template")).groupBy("path", "named", "wordy", "row", "own", "template").agg(F.count_distinct("s").alias("n"), F.count("*").alias("times"))
+    scored = held.join(small(sizes), "template").withColumn("score", F.round(F.col("n") / F.col("all"), 6)).where(F.col("score") >= threshold)
+    best = scored.groupBy("path", "named", "wordy", "row", "own", "kind").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("away"), "license", "times")).alias("b"))
+    texts_found = best.select("path", "named", "kind", "b.n", "b.license", (-F.col("b.away")).alias("score"), F.lit(0).alias("notices"), "wordy", ((F.col("kind") == 1) & (F.col("b.times") >= F.col("own") * WHOLE)).alias("whole"))
+    spdx = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"[ \t]+", " "))))
+    tags = F.size(F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(SPDX))))
+    tagged = files.where(F.lower("text").contains("spdx-license-identifier:")).select("path", named.alias("named"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"), F.array_join(spdx, " AND ").alias("license"), F.lit(1.0).alias("score"), tags.alias("notices"), wordy.alias("wordy"), F.lit(False).alias("whole")).where("license <> ''")
+    return texts_found.unionByName(tagged)
+
+
 def ancestors(directory: Column) -> Column:
     """A directory and all above it, to the root (empty string)."""
     parts = F.split(directory, "/")
@@ -106,10 +163,11 @@ def scan(files: DataFrame, weights: Weights | None = None, threshold: float = TH
     hits = hits.select("path", "named", "wordy", "s.segment", "s.line", F.md5("s.segment").alias("id"))
     hits = cut(hits, "license-hits")
     found = small(cut(matched(hits.select("id", "segment").distinct(), weights, threshold), "license-found"))
+    by_line = hits.drop("segment").join(found, "id").select("path", "named", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"), "license", "score", F.col("line").cast("int").alias("notices"), "wordy", F.lit(False).alias("whole"))
     own = (
-        hits.drop("segment").join(found, "id").groupBy("path", "named")
-        .agg(F.min(F.struct((-F.col("score")).alias("away"), "license")).alias("b"), F.sum(F.col("line").cast("int")).alias("notices"), F.max("wordy").alias("wordy"))
-        .select(F.col("path").alias("own_path"), F.col("b.license").alias("own"), (-F.col("b.away")).alias("score"), (F.col("named") | (F.col("notices") >= F.col("wordy"))).alias("licence_file"))
+        by_line.unionByName(declared(files, wordy, named, threshold)).groupBy("path", "named")
+        .agg(F.min(F.struct("kind", "n", (-F.col("score")).alias("away"), "license")).alias("b"), F.sum("notices").alias("notices"), F.max("wordy").alias("wordy"), F.bool_or("whole").alias("whole"))
+        .select(F.col("path").alias("own_path"), F.col("b.license").alias("own"), (-F.col("b.away")).alias("score"), (F.col("named") | (F.col("notices") >= F.col("wordy")) | F.col("whole")).alias("licence_file"))
     )
     own = cut(own, "license-own")
     dirs = own.where("licence_file and own_path is not null").select(dirname(F.col("own_path")).alias("above"), "own", "score").groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("away"), F.col("own").alias("license"))).alias("b")).select("above", "b.license")

@@ -71,3 +71,46 @@ def test_skipped_lines_cannot_match():
 
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def wrapped(text, mark="", width=66):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_texts_over_lines(spark):
+    """Wrapped headers and full texts, with comment marks, holders of their own and code around them."""
+    from incipit.llm.licence_standards import full_texts, standards
+
+    texts = standards()
+
+    def header(name, start):
+        return next(t for n, t in texts if n == name and t.startswith(start))
+
+    full = dict(full_texts())
+    gpl, bsd3, bsd2 = header("GPL-3.0", "This program"), header("BSD-3-Clause", "Redistribution"), header("BSD-2-Clause", "Redistribution")
+    code = "\n\nint main() { return 0; }\n" * 50
+    rows = {
+        "g3/x.c": (wrapped(gpl.replace("This program is free", "Foo is free"), " * ") + code, "GPL-3.0"),
+        "g2/x.py": (wrapped(header("GPL-2.0", "This program"), "# ") + code, "GPL-2.0"),
+        "l/x.m4": (wrapped(header("LGPL-2.1", "This program"), "dnl ") + code, "LGPL-2.1"),
+        "a/x.js": (wrapped(header("AGPL-3.0", "This program"), "// ", 40) + code, "AGPL-3.0"),
+        "b3/x.h": (wrapped(bsd3.replace("the copyright holder nor", "Foo Inc. nor"), " * ") + code, "BSD-3-Clause"),
+        "b2/x.h": (wrapped(bsd2, " * ") + code, "BSD-2-Clause"),
+        "ap/x.go": (wrapped(header("Apache-2.0", "Licensed"), "// ") + code, "Apache-2.0"),
+        "m/x.rs": (wrapped(header("MPL-2.0", "This Source"), "// ", 30) + code, "MPL-2.0"),
+        "w/x": ("# Released under\n# the MIT License." + code, "MIT"),
+        "s/x": ("// SPDX-License-Identifier: GPL-2.0-only OR MIT" + code, "GPL-2.0-only OR MIT"),
+        "o/COPYING": (full["GPL-3.0"][:600], "GPL-3.0"),
+        "i/terms": ("ISC License\n\nCopyright (c) 2020 A B\n\n" + wrapped(header("ISC", "Permission")), "ISC"),
+        "mit/LICENSE": ("MIT License\n\nCopyright (c) 2020 A B\n\n" + wrapped(header("MIT", "Permission")), "MIT"),
+        **{f"full-{n}/LICENSE": (t, n) for n, t in full.items()},
+    }
+    extra = [("i/sub/y", "code"), ("full-GPL-3.0/sub/y", None), ("g3/y", "the program is free software and so on"), ("p/y", "permission is granted to copy this software")]
+    files = spark.createDataFrame([*((p, t) for p, (t, _) in rows.items()), *extra], "path string, text string")
+    got = {r.path: r for r in lic.scan(files).collect()}
+    assert {p: got[p].license for p in rows} == {p: want for p, (_, want) in rows.items()}
+    assert all(got[p].score >= lic.THRESHOLD for p in rows)
+    assert got["i/terms"].licence_file and got["i/sub/y"].license == "ISC" and got["full-GPL-3.0/sub/y"].license == "GPL-3.0"
+    assert not got["g3/x.c"].licence_file and got["g3/y"].license is None and got["p/y"].license is None
