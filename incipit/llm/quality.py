@@ -10,7 +10,8 @@ vector are kept per (group, bin), and the bins up to the one that holds the h-th
 Start: medians and median absolute deviations from value counts. Vectors are whole thousandths, so sums are exact
 and do not depend on their order. A floor on each statistic's deviation keeps scatter regular where half of a group
 agrees on a value (minimum regularised covariance determinant). Groups of fewer than `least_group` documents are
-pooled by language; what is still smaller gets no verdict from the method. Documents that fail the base rules take no part in the fit.
+pooled by language, pools that are still smaller are pooled together, and where even these are fewer in all the estimate is
+that of all documents, however few; every document that passes the base rules is judged. Documents that fail them take no part in the fit.
 
 Statistics are written once to the shared folder; steps read only them. No group's rows ever meet in a task: bins and
 value counts are partial sums, and windows run over them (their number a group is bounded by the binning).
@@ -89,14 +90,18 @@ def vector(q: Column) -> list[Column]:
 
 
 def vectors(stats: DataFrame, least_group: int) -> DataFrame:
-    """stats with x0.. and _group: (lang, source), or the language's pool where documents are few, or null."""
+    """stats with x0.., _group (what judges the row: its (lang, source), its language's pool, the pool of small pools, or all) and _fit (the groups it is fitted in)."""
     rows = stats.withColumns({f"x{k}": v for k, v in enumerate(vector(F.col("_q")))})
     good = rows.where(~F.col("_q.base_failed"))
     counts = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     counts = counts.withColumn("pool", F.sum(F.when(F.col("n") < least_group, F.col("n"))).over(Window.partitionBy("lang")))
     key = F.when(F.col("n") >= least_group, F.struct(F.col("lang").alias("l"), F.col("source").alias("s"), F.lit(False).alias("pooled")))
     key = key.when(F.col("pool") >= least_group, F.struct(F.col("lang").alias("l"), F.lit(None).cast("string").alias("s"), F.lit(True).alias("pooled")))
-    groups = small(cut(counts.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.to_json(key).alias("_group")), "mcd-groups"))
+    counts = cut(counts.withColumn("_group", F.to_json(key)), "mcd-counts")
+    rest = counts.where("_group is null").agg(F.sum("n")).first()[0] or 0
+    last = "small" if rest >= least_group else "all"
+    counts = counts.withColumn("_fit", F.array_compact(F.array("_group", F.lit("all") if 0 < rest < least_group else F.when(F.col("_group").isNull(), F.lit(last)))))
+    groups = small(cut(counts.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.coalesce("_group", F.lit(last)).alias("_group"), "_fit"), "mcd-groups"))
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
 
 
@@ -189,7 +194,7 @@ def consistency(covered: float) -> float:
 
 def fitted(rows: DataFrame, covered: float = COVERED, steps: int = 4) -> DataFrame:
     """The estimate of each group after some concentration steps; rows come from vectors()."""
-    fit = cut(rows.where(~F.col("_q.base_failed") & F.col("_group").isNotNull()).select("_group", *[f"x{k}" for k in range(P)]), "mcd-fit")
+    fit = cut(rows.where(~F.col("_q.base_failed") & F.col("_group").isNotNull()).select(F.explode("_fit").alias("_group"), *[f"x{k}" for k in range(P)]), "mcd-fit")
     estimate = cut(start(fit), "mcd-step")
     for _ in range(steps):
         estimate = cut(concentrated(fit, estimate, covered), "mcd-step")
@@ -200,7 +205,7 @@ def judged(stats: DataFrame, cutoff: float = CUTOFF, covered: float = COVERED, l
     """stats (with _q, lang, source; see with_statistics) with _distance and _kept."""
     rows = vectors(stats, least_group)
     out = rows.join(small(fitted(rows, covered, steps)), "_group", "left").withColumn("_distance", distance())
-    return out.withColumn("_kept", ~F.col("_q.base_failed") & (F.coalesce("_distance", F.lit(0.0)) <= cutoff)).drop("_group", "centre", "inverse", *[f"x{k}" for k in range(P)])
+    return out.withColumn("_kept", ~F.col("_q.base_failed") & (F.coalesce("_distance", F.lit(0.0)) <= cutoff)).drop("_group", "_fit", "centre", "inverse", *[f"x{k}" for k in range(P)])
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -115,3 +115,14 @@ def test_kept_documents(spark):
 
 def test_chi_squared():
     assert q.chi2_cdf(11.0705, 5) == pytest.approx(0.95, abs=1e-4)
+
+
+@pytest.mark.parametrize("sizes", [{"en": 60, "xx": 10}, {"xx": 30, "yy": 30}, {"xx": 12, "yy": 12, None: 12}, {"xx": 2}])
+def test_small_groups_are_judged(spark, sizes):
+    """Rare languages: their common pool, or all documents where that is small too; junk among them goes."""
+    r = random.Random(3)
+    text = lambda junk: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + "###" * junk for _ in range(int(60 * math.exp(abs(r.gauss(0, 1))))))
+    rows = [(f"{lang}{k}", text(k == 0 and n > 2), lang, "s%d" % (k % 2)) for lang, n in sizes.items() for k in range(n)]
+    out = q.judged(q.with_statistics(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"))).collect()
+    assert len(out) == len(rows) and all(x._distance is not None for x in out)
+    assert {x.doc_id for x in out if not x._kept} == {f"{lang}0" for lang, n in sizes.items() if n > 2}
