@@ -196,10 +196,11 @@ def html_chapters(spark, sf):
     return ch.select("doc", "chapter_no", "number", "title", F.length("text").alias("chars"), F.size("sections").alias("sections"))
 
 
-def fidelity_prefix(spark, sf):
-    """Order-aware overlap of each passage with itself cut to its first ten words."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(tx.words("text"), 1, 10), " ").alias("extracted"), F.col("text").alias("reference"))
-    return stats.fidelity(b)
+def fidelity_turns(spark, sf):
+    """Order-aware overlap of the whole texts of consecutive turns, the later as extracted."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    later = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("extracted"))
+    return stats.fidelity(t.join(later, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "extracted", F.col("text").alias("reference")))
 
 
 def bootstrap_labels(spark, sf):
@@ -252,7 +253,7 @@ def forward_anchor(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, tokens, sentence_split, defining_sentences, evidence_coverage, evidence_thresholds, recall_at_k, recall_at_words, chunk_pack, tfidf_terms, distinctive_topics, vocab_df, token_f1, prf_words, kappa_labels, split_hash, slugs,
-    prose_words, random_control, repeated_edge_lines, html_chapters, fidelity_prefix, bootstrap_labels,
+    prose_words, random_control, repeated_edge_lines, html_chapters, fidelity_turns, bootstrap_labels,
     layout_blocks, layout_report, structure_sections, extract_references, scalar_answers, forward_anchor,
 )}
 

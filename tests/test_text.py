@@ -109,3 +109,23 @@ def test_entry_without_training_operators(monkeypatch):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fidelity_turns(spark, tmp_path):
+    """Whole texts of more than ten words, reordered too, against difflib."""
+    import re
+    from difflib import SequenceMatcher
+
+    from incipit.plans.queries import fidelity_turns
+
+    one = " ".join(f"w{k % 17}" for k in range(60))
+    turns = [("c", 0, one), ("c", 1, " ".join(one.split()[30:] + one.split()[:30])), ("c", 2, one + ", and more."), ("d", 0, "x"), ("d", 1, "")]
+    spark.createDataFrame(turns, "conv_id string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: (r.ref_tokens, r.out_tokens, round(r.precision, 9), round(r.recall, 9)) for r in fidelity_turns(spark, str(tmp_path)).collect()}
+    want = {}
+    for (c, n, t), (d, _, u) in zip(turns, turns[1:]):
+        if c == d:
+            b, a = (re.findall(r"\w+|[^\w\s]", x) for x in (t, u))
+            same = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            want[f"{c}/{n}"] = (len(b), len(a), round(same / max(len(a), 1), 9), round(same / max(len(b), 1), 9))
+    assert got == want and want["c/0"][0] == 60
