@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.functions import text as tx
+from incipit.scale import cut
 
 
 def term_counts(paragraphs: DataFrame) -> DataFrame:
@@ -163,8 +164,8 @@ def code_recovery(listings: DataFrame) -> DataFrame:
 def bootstrap(values: DataFrame, by: str, cluster: str | None = None, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean by group, resampling rows, or whole clusters where a column is named.
 
-    values (by, value[, cluster, ord]). A group is a question set, which one task holds; its rows are put in order first, so the
-    draws of Python's generator are the same in every run.
+    values (by, value[, cluster, ord]). For small fixtures: one task holds a group and walks it n_boot times, with the draws of
+    Python's generator over its rows in order. bootstrap_counts() is the form for tables.
     """
     keep = [by, "value"] + ([cluster] if cluster else []) + (["ord"] if "ord" in values.columns else [])
 
@@ -186,3 +187,37 @@ def bootstrap(values: DataFrame, by: str, cluster: str | None = None, n_boot: in
         return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [float(pdf["value"].mean())], "low": [float(means[int(alpha / 2 * n_boot)])], "high": [float(means[min(n_boot - 1, int((1 - alpha / 2) * n_boot))])], "n": [len(pdf)]})
 
     return values.select(*keep).groupBy(by).applyInPandas(run, f"{by} {dict(values.dtypes)[by]}, mean double, low double, high double, n long")
+
+
+def bootstrap_counts(values: DataFrame, by: str, cluster: str | None = None, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """bootstrap() for groups of any size: rows (or clusters) are counted by value, and each resample is a multinomial draw of those counts.
+
+    The draws are numpy's, seeded by (seed, hash of the group, replicate), so they do not depend on partitions. Only distinct
+    values of a group meet in a row; resamples are spread in blocks. Rows without a value are left out.
+    """
+    import numpy as np
+
+    block = 50
+    rows = values.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    parts = rows.groupBy(by, cluster).agg(F.sum("value").alias("_s"), F.count("*").alias("_c")) if cluster else rows.select(by, F.col("value").alias("_s"), F.lit(1).cast("long").alias("_c"))
+    counts = parts.groupBy(by, "_s", "_c").agg(F.count("*").alias("_n"))
+    groups = cut(counts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_s", "_c", "_n"))).alias("_p"), F.xxhash64(by).alias("_h")), "bootstrap-counts")
+    tasks = groups.select(by, "_h", "_p._s", "_p._c", "_p._n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(block))).alias("_first"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                group, h, s, c, times, first = r
+                m = int(times.sum())
+                for k in range(first, min(first + block, n_boot)):
+                    n = np.random.default_rng([seed, int(h) % 2**64, k]).multinomial(m, times / m)
+                    out.append((group, k, float((n * s).sum() / (n * c).sum())))
+            yield pd.DataFrame(out, columns=[by, "_k", "_m"])
+
+    means = tasks.repartition(by, "_first").mapInPandas(run, f"{by} {dict(values.dtypes)[by]}, _k int, _m double")
+    at = F.row_number().over(Window.partitionBy(by).orderBy("_m", "_k")) - 1
+    pick = lambda k: F.max(F.when(F.col("_at") == k, F.col("_m")))
+    ends = means.withColumn("_at", at).groupBy(F.col(by).alias("_by")).agg(pick(int(alpha / 2 * n_boot)).alias("low"), pick(min(n_boot - 1, int((1 - alpha / 2) * n_boot))).alias("high"))
+    weigh = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, x: a + x[f] * x["_n"])
+    return groups.join(ends, F.col(by).eqNullSafe(F.col("_by"))).select(by, (weigh("_s") / weigh("_c")).alias("mean"), "low", "high", weigh("_c").cast("long").alias("n"))

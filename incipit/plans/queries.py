@@ -204,8 +204,8 @@ def fidelity_turns(spark, sf):
 
 
 def bootstrap_labels(spark, sf):
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("quality").cast("double").alias("value"), F.col("doc_id").alias("ord"))
-    return stats.bootstrap(rows, "lang", n_boot=500)
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("quality").cast("double").alias("value"))
+    return stats.bootstrap_counts(rows, "lang")
 
 
 def _book(spark) -> DataFrame:

@@ -129,3 +129,17 @@ def test_fidelity_turns(spark, tmp_path):
             same = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
             want[f"{c}/{n}"] = (len(b), len(a), round(same / max(len(a), 1), 9), round(same / max(len(b), 1), 9))
     assert got == want and want["c/0"][0] == 60
+
+
+def test_bootstrap_counts(spark):
+    """Beside the generator form of as many resamples; any partitions give the same rows; clusters are wider."""
+    rows = [("a" if k % 3 else None, float(k % 7 == 0), k // 10 % 20, k) for k in range(600)] + [("one", 1.0, 0, 0)] * 3
+    df = spark.createDataFrame(rows, "grp string, value double, c int, ord int")
+    for cluster in (None, "c"):
+        got = {r.grp: r for r in stats.bootstrap_counts(df, "grp", cluster).collect()}
+        want = {r.grp: r for r in stats.bootstrap(df, "grp", cluster).collect()}
+        assert {g: (round(r["mean"], 9), r.n) for g, r in got.items()} == {g: (round(r["mean"], 9), r.n) for g, r in want.items()}
+        assert all(abs(got[g].low - want[g].low) < 0.012 and abs(got[g].high - want[g].high) < 0.012 for g in want)
+        assert got["one"].low == got["one"].high == 1.0
+    again = stats.bootstrap_counts(df.repartition(7), "grp", "c").collect()
+    assert {r.grp: r for r in again} == got
