@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count shows at most this many (narrow) rows.
-BROADCAST_ROWS = 20_000
+#: A side is broadcast only when a count shows at most this many rows and this many bytes of them, as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves local masters; elsewhere executors could not see it, so that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="incipit-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -25,26 +31,35 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/incipit/{label}-{uuid.uuid4().hex}"
 
 
+def _on(spark: SparkSession, path: str, action: str, *args) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark._jsc.hadoopConfiguration()), action)(p, *args)
+
+
 def written(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again; the lineage ends there. Returns the frame and its path."""
-    path = shared_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)  # its streams need no direct buffers, which only a collection frees
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    _on(spark, path, "deleteOnExit")  # at the end of the driver
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """written() for tables that the caller's result may still read: they go when the driver ends."""
     return written(df, label)[0]
 
 
 def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by written()."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder made by written() that nothing reads any more."""
+    _on(spark, path, "delete", True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if a count (that stops beyond the bound) proves it small, else unmarked: the join then shuffles.
 
     Call it on a frame that is cheap to read, e.g. one from cut().
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    some = df.select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("b")).limit(rows + 1)
+    n, b = some.agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (b or 0) <= size else df

@@ -105,10 +105,40 @@ def test_html(spark):
     assert html.parsed('<h2 id="ch03-x">T</h2>', html.ASCIIDOCTOR)[0]["number"] == "3"
 
 
-def test_entry_without_training_operators(monkeypatch):
-    import __spark_entry__
-
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+def test_entry_without_training_operators(tmp_path):
+    """A copy of the repository without the training-data folders still offers every other query, and no pipeline."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "incipit", tmp_path / "incipit", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    names = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    for _ in range(2):  # with corpus_pipeline.py left behind, then without it
+        out = subprocess.run([sys.executable, "-c", names], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"}).stdout.splitlines()
+        assert "bm25_topk" in out[0].split() and set(out[1].split()) <= set(out[0].split())
+        assert not [x for x in out[0].split() if x.startswith("op") or x == "pipeline"]
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_small_and_cuts(spark):
+    """Broadcast only under both bounds; a cut is there until it is dropped."""
+    from incipit import scale
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) as `a.b`")
+    marked = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert marked(scale.small(df)) and not marked(scale.small(df, rows=99)) and not marked(scale.small(df, size=50_000))
+    assert marked(scale.small(df.limit(0)))
+    kept, path = scale.written(df)
+    assert kept.count() == 100 and scale.shared_dir(spark) in path
+    scale.dropped(spark, path)
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file://")).exists()
 
 
 def test_fidelity_turns(spark, tmp_path):
