@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("INCIPIT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column cost more than small plans
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
