@@ -2,22 +2,31 @@
 
 Base rules count, in each whole text, words, their code points, symbols, repeated lines and words in repeated 3-word
 windows. Five transformed statistics then form a vector; for every (language, source) the minimum-covariance-determinant
-estimate of centre and scatter is found by concentration steps, and a document whose squared Mahalanobis distance is above
-`cutoff` is rejected.
-
-A concentration step is one grouped aggregation: documents fall in narrow bins of their distance, sums and products of the
-vector are kept per (group, bin), and the bins up to the one that holds the h-th smallest distance give the new estimate.
-Start: medians and median absolute deviations from value counts. Vectors are whole thousandths, so sums are exact
-and do not depend on their order. A floor on each statistic's deviation keeps scatter regular where half of a group
-agrees on a value (minimum regularised covariance determinant). Groups of fewer than `least_group` documents are
-pooled by language, pools that are still smaller are pooled together, and where even these are fewer in all the estimate is
-that of all documents, however few; every document that passes the base rules is judged. Documents that fail them take no part in the fit.
-
-Statistics are written once to the shared folder; steps read only them. No group's rows ever meet in a task: bins and
-value counts are partial sums, and windows run over them (their number a group is bounded by the binning).
-
-Edge cases: null text has no words and fails the base rules; null lang or source is a value of its own; repeated rows each
-get their row; empty tables give no rows; kept_documents() keeps docs' columns, also where names clash with its own.
+estimate of centre and scatter is searched, and a document whose squared Mahalanobis distance from it is above the
+chi-squared quantile of `tail` is rejected.
+
+The search starts, for each group, from three deterministic scatters about the medians (median absolute deviations alone,
+spatial signs, and hyperbolic tangents of the scaled statistics). From each start, concentration steps take the h nearest
+documents, h being `covered` of the group, and estimate anew, until the determinant no longer falls; the least determinant of
+the three is the group's. A step counts the documents of each distance (told apart by 1/4096 of a doubling), finds the h-th
+from these counts, and sums the vectors up to it. h is met exactly: documents that tie at the h-th distance share what is
+left of h equally (a weighted step, for which the determinant falls just the same).
+
+Where half of a group agrees on a statistic its scatter would be singular. So scatter is regularised, as in the minimum
+regularised covariance determinant: a statistic's variance gets what its median absolute deviation lacks to its floor (a ten
+thousandth of the floor at least), fixed for the group before the first step.
+
+Groups of fewer than `least_group` documents are pooled by language, pools that are still smaller are pooled together, and
+where even these are fewer in all the estimate is that of all documents, however few (with whole floors); every document that
+passes the base rules is judged. Documents that fail them take no part in the fit. Vectors are whole thousandths, so sums are
+exact and do not depend on their order.
+
+Statistics are written once to the shared folder; steps read only them. No group's rows ever meet in a task: counts of
+distances and values and the sums are partial, and windows run over counts (bounded a group by what is told apart).
+
+Edge cases: null text has no words and fails the base rules; very long texts are counted whole, in their own row; null lang
+or source is a value of its own; equal distances share alike; repeated rows each get their row; empty tables give no rows;
+kept_documents() keeps docs' columns, also where names clash with its own.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from incipit.scale import cut, small
+from incipit.scale import BROADCAST_ROWS, cut, dropped, small, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -36,10 +45,11 @@ UNIT = 1000
 FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats")
 P = len(FEATURES)
 #: Least deviation of each transformed statistic.
-FLOORS = (0.8, 0.12, 0.25, 0.25, 0.1)
-#: Squared Mahalanobis distance above which a document is rejected, and the share of a group that the estimate covers.
-CUTOFF, COVERED = 60.0, 0.75
-BINS_PER_DOUBLING = 32
+FLOORS = (0.9, 0.1, 0.2, 0.35, 0.15)
+#: The share of a normal group that the cutoff would reject, and the share of a group that the estimate covers.
+TAIL, COVERED = 1e-6, 0.75
+#: Parts of a doubling of 1 + distance that distances are told apart by, and the fall of a determinant that counts as one.
+STEP, LEAST_FALL = 4096, 1e-6
 
 
 def let(value: Column, f) -> Column:
@@ -47,24 +57,29 @@ def let(value: Column, f) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in 3-word windows that occur at least twice; windows are sorted by hash and compared."""
+    """How many words lie in 3-word windows that occur at least twice; windows are sorted by hash, then by their words."""
 
     def of(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda k: F.struct(F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2)).alias("h"), k.alias("k")))
+        def window(k: Column) -> Column:
+            a, b, c = (F.get(w, k + d) for d in range(3))
+            return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), k.alias("k"))
 
         def covered(s: Column) -> Column:
-            twin = F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]))
+            def same(x: Column, y: Column) -> Column:
+                return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+            twin = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
             at = F.array_sort(F.transform(twin, lambda x: x["k"]))
             # Each window covers 3 words, less what the next one covers again.
             return let(at, lambda a: F.when(F.size(a) > 0, F.aggregate(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.least(F.coalesce(y - x, F.lit(3)), F.lit(3))), F.lit(0), lambda n, x: n + x)).otherwise(0))
 
-        return F.when(F.size(w) >= 3, let(F.sort_array(hashed), covered)).otherwise(0)
+        return F.when(F.size(w) >= 3, let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)), covered)).otherwise(0)
 
     return let(words, of).cast("long")
 
 
-def with_statistics(docs: DataFrame, names: tuple[str, ...] = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) -> DataFrame:
-    """docs with a struct column `_q` of the base statistics."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs with a struct column `_q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
@@ -94,7 +109,8 @@ def vectors(stats: DataFrame, least_group: int) -> DataFrame:
     rows = stats.withColumns({f"x{k}": v for k, v in enumerate(vector(F.col("_q")))})
     good = rows.where(~F.col("_q.base_failed"))
     counts = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("pool", F.sum(F.when(F.col("n") < least_group, F.col("n"))).over(Window.partitionBy("lang")))
+    pools = counts.where(F.col("n") < least_group).groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n").alias("pool"))
+    counts = counts.join(pools, F.col("lang").eqNullSafe(F.col("pool_lang")), "left")
     key = F.when(F.col("n") >= least_group, F.struct(F.col("lang").alias("l"), F.col("source").alias("s"), F.lit(False).alias("pooled")))
     key = key.when(F.col("pool") >= least_group, F.struct(F.col("lang").alias("l"), F.lit(None).cast("string").alias("s"), F.lit(True).alias("pooled")))
     counts = cut(counts.withColumn("_group", F.to_json(key)), "mcd-counts")
@@ -112,65 +128,86 @@ def medians(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).where("upto * 2 >= all").groupBy(*keys).agg(F.min(value).alias("med"))
 
 
-def start(fit: DataFrame) -> DataFrame:
-    """_group, centre (array, thousandths), inverse (array of arrays): medians and median absolute deviations."""
+def deviations(fit: DataFrame, covered: float, least_group: int) -> DataFrame:
+    """_group, centre (medians, thousandths), sd (floored), ridge (variances), h."""
     long = fit.select("_group", F.posexplode(F.array(*[F.col(f"x{k}") for k in range(P)])).alias("k", "x"))
     counts = cut(long.groupBy("_group", "k", "x").agg(F.count("*").alias("n")), "mcd-values")
     med = medians(counts, ["_group", "k"], "x")
     away = counts.join(med, ["_group", "k"]).groupBy("_group", "k", F.abs(F.col("x") - F.col("med")).alias("d")).agg(F.sum("n").alias("n"))
     mad = medians(away, ["_group", "k"], "d").withColumnRenamed("med", "mad")
     floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("k") + 1)
-    both = med.join(mad, ["_group", "k"]).withColumn("sd", F.greatest(F.col("mad") * 1.4826 / UNIT, floor))
-    rows = both.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("k", "med", "sd"))).alias("a"))
-    diagonal = F.transform("a", lambda r, i: F.transform("a", lambda c, j: F.when(i == j, 1 / (r["sd"] * r["sd"])).otherwise(0.0)))
-    return rows.select("_group", F.transform("a", lambda r: r["med"].cast("double")).alias("centre"), diagonal.alias("inverse"))
-
-
-def inverted(m: Column) -> Column:
-    """Gauss-Jordan inverse of a positive definite array of arrays."""
-
-    def pivot(a: Column, k: Column) -> Column:
-        d = F.get(F.get(a, k), k)
-
-        def cell(row: Column, i: Column, x: Column, j: Column) -> Column:
-            whole = x - F.get(row, k) * F.get(F.get(a, k), j) / d
-            return F.when((i == k) & (j == k), 1 / d).when(i == k, x / d).when(j == k, -x / d).otherwise(whole)
+    n = counts.where("k = 0").groupBy("_group").agg(F.sum("n").alias("n"))
+    sd = F.col("mad") * 1.4826 / UNIT
+    lacking = F.when(F.col("n") < least_group, floor * floor).otherwise(F.greatest(floor * floor - sd * sd, floor * floor * 1e-4))
+    both = med.join(mad, ["_group", "k"]).join(n, "_group").withColumns({"sd": F.greatest(sd, floor), "ridge": lacking})
+    rows = both.groupBy("_group", "n").agg(F.array_sort(F.collect_list(F.struct("k", "med", "sd", "ridge"))).alias("a"))
+    return rows.select("_group", F.transform("a", lambda r: r["med"].cast("double")).alias("centre"), F.transform("a", lambda r: r["sd"]).alias("sd"), F.transform("a", lambda r: r["ridge"]).alias("ridge"), F.ceil(F.col("n") * covered).alias("h"))
+
+
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def matrix_of(entry) -> str:
+    """SQL of a symmetric array of arrays from the SQL of its entries."""
+    return "array(" + ", ".join("array(" + ", ".join(entry(min(i, j), max(i, j)) for j in range(P)) + ")" for i in range(P)) + ")"
+
+
+def starts(fit: DataFrame, covered: float, least_group: int) -> DataFrame:
+    """_group, start, centre, inverse, ridge, h, det (infinite), active: three scatters about the medians."""
+    base = cut(deviations(fit, covered, least_group), "mcd-deviations")
+    z = ", ".join(f"(x{k} - centre[{k}]) / {UNIT} / sd[{k}]" for k in range(P))
+    scaled = fit.join(small(base), "_group").selectExpr("_group", f"array({z}) as z").selectExpr("_group", "z", "aggregate(z, 0D, (a, v) -> a + v * v) as norm2", "transform(z, v -> tanh(v)) as t")
+    million = lambda c: f"sum(cast(round({c} * 1000000) as bigint))"  # noqa: E731  # whole millionths: exact in any order
+    signs = [f"{million(f'if(norm2 > 0, z[{i}] * z[{j}] / norm2, 0D)')} as u{i}_{j}" for i, j in PAIRS]
+    tanhs = [f"{million(f't[{k}]')} as t{k}" for k in range(P)] + [f"{million(f't[{i}] * t[{j}]')} as t{i}_{j}" for i, j in PAIRS]
+    sums = scaled.groupBy("_group").agg(F.count("*").alias("n"), *map(F.expr, signs + tanhs))
+    share = lambda c: f"{c} / n / 1000000"
+    room = lambda i, j: 0.05 * (i == j)  # noqa: E731  # keeps every start's scatter regular
+    kinds = (
+        lambda i, j: f"{float(i == j)}D",
+        lambda i, j: f"{share(f'u{i}_{j}')} * {P} + {room(i, j)}D",
+        lambda i, j: f"{share(f't{i}_{j}')} - {share(f't{i}')} * {share(f't{j}')} + {room(i, j)}D",
+    )
+    scatters = ", ".join(matrix_of(lambda i, j, kind=kind: f"({kind(i, j)}) * sd[{i}] * sd[{j}]") for kind in kinds)
+    rows = base.join(sums, "_group").selectExpr("_group", "centre", "ridge", "h", f"posexplode(array({scatters})) as (start, scatter)")
+    return rows.selectExpr("_group", "start", "centre", f"{inverted('scatter')}.a as inverse", "ridge", "h", "double('infinity') as det", "true as active")
 
-        return F.transform(a, lambda row, i: F.transform(row, lambda x, j: cell(row, i, x, j)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), m, pivot)
+def inverted(m: str) -> str:
+    """SQL of struct<a, det>: Gauss-Jordan inverse of a positive definite array of arrays, and its determinant."""
+    pivot = "s.a[k][k]"
+    cell = f"case when i = k and j = k then 1 / {pivot} when i = k then x / {pivot} when j = k then -x / {pivot} else x - r[k] * s.a[k][j] / {pivot} end"
+    return f"aggregate(sequence(0, {P - 1}), struct({m} as a, 1D as det), (s, k) -> struct(transform(s.a, (r, i) -> transform(r, (x, j) -> {cell})) as a, s.det * {pivot} as det))"
 
 
 def distance() -> Column:
     """Squared Mahalanobis distance of x0.. from centre by inverse."""
-    z = [(F.col(f"x{k}") - F.get("centre", F.lit(k))) / UNIT for k in range(P)]
-    terms = [z[i] * z[j] * F.get(F.get("inverse", F.lit(i)), F.lit(j)) * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
-    return sum(terms[1:], terms[0])
-
-
-def concentrated(fit: DataFrame, estimate: DataFrame, covered: float) -> DataFrame:
-    """One concentration step; the estimate has a row a group and is broadcast if a count proves it small."""
-    at = F.floor(F.log2(1 + F.greatest(distance(), F.lit(0.0))) * BINS_PER_DOUBLING).cast("int")
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-    # Vectors relative to the last centre, so that products stay small.
-    near = fit.join(small(estimate), "_group").withColumn("bin", at).withColumns({f"z{k}": F.col(f"x{k}") - F.round(F.get("centre", F.lit(k))).cast("long") for k in range(P)})
-    sums = near.groupBy("_group", "bin").agg(
-        F.count("*").alias("n"), F.first(F.transform("centre", lambda c: F.round(c).cast("long"))).alias("base"), *[exact(F.col(f"z{k}")).alias(f"s{k}") for k in range(P)], *[exact(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i, j in pairs]
-    )
-    w = Window.partitionBy("_group")
-    inner = sums.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.ceil(F.col("all") * covered))
-    total = inner.groupBy("_group").agg(F.sum("n").cast("double").alias("n"), F.first("base").alias("base"), *[F.sum(c).cast("double").alias(c) for c in sums.columns if c[0] in "sc" and c[1:2].isdigit()])
-    mean = [F.col(f"s{k}") / F.col("n") for k in range(P)]
-    spread = consistency(covered)
-
-    def entry(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
-        c = (F.col(f"c{i}_{j}") / F.col("n") - mean[i] * mean[j]) * spread / UNIT**2
-        return c + F.lit(FLOORS[i] ** 2) if i == j else c
-
-    scatter = F.array(*[F.array(*[entry(i, j) for j in range(P)]) for i in range(P)])
-    return total.select("_group", F.array(*[F.get("base", F.lit(k)) + mean[k] for k in range(P)]).alias("centre"), scatter.alias("scatter")).select("_group", "centre", inverted(F.col("scatter")).alias("inverse"))
+    terms = [f"(x{i} - centre[{i}]) / {UNIT} * (x{j} - centre[{j}]) / {UNIT} * inverse[{i}][{j}] * {1 + (i != j)}" for i, j in PAIRS]
+    return F.expr(" + ".join(terms))
+
+
+def concentrated(fit: DataFrame, estimate: DataFrame, covered: float, hint) -> DataFrame:
+    """_group, start, centre, inverse, det after one concentration step; hint(frame) marks frames of a row an estimate."""
+    key = ["_group", "start"]
+    # Sums are relative to the rounded centre, so that products stay small.
+    estimate = estimate.selectExpr(*key, "centre", "inverse", "ridge", "h", "transform(centre, c -> cast(round(c) as bigint)) as base")
+
+    def placed(estimate: DataFrame) -> DataFrame:
+        return fit.join(hint(estimate), "_group").withColumn("d", F.floor(F.log2(1 + F.greatest(distance(), F.lit(0.0))) * STEP).cast("int"))
+
+    # The distance where h falls, and how many lie nearer and exactly there.
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("d"))
+    counts = placed(estimate).groupBy(*key, "h", "d").agg(F.count("*").alias("n")).withColumn("upto", upto).where("upto >= h")
+    edge = counts.groupBy(*key).agg(F.min(F.struct("d", "n", "upto")).alias("e")).selectExpr(*key, "e.d as edge", "e.n as tied", "e.upto - e.n as nearer")
+    near = placed(estimate.join(hint(edge), key)).where("d <= edge")
+    products = {f"s{k}": f"x{k} - base[{k}]" for k in range(P)} | {f"c{i}_{j}": f"(x{i} - base[{i}]) * (x{j} - base[{j}])" for i, j in PAIRS}
+    parts = [f"sum({v}) filter (where d {on} edge) as {name}{part}" for name, v in products.items() for on, part in (("<", ""), ("=", "t"))]
+    sums = near.groupBy(*key).agg(F.expr("first(struct(base, ridge, h, tied, nearer)) as g"), *map(F.expr, parts)).selectExpr("*", "g.*")
+    sums = sums.selectExpr(*key, "base", "ridge", *[f"(coalesce({name}, 0) + coalesce({name}t, 0) * ((h - nearer) / tied)) / h as {name}" for name in products])
+    spread = consistency(covered) / UNIT**2
+    scatter = matrix_of(lambda i, j: f"(c{i}_{j} - s{i} * s{j}) * {spread!r}D" + f" + ridge[{i}]" * (i == j))
+    centre = ", ".join(f"base[{k}] + s{k}" for k in range(P))
+    return sums.selectExpr(*key, f"array({centre}) as centre", f"{inverted(scatter)} as m").selectExpr(*key, "centre", "m.a as inverse", "m.det as det")
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -192,20 +229,41 @@ def consistency(covered: float) -> float:
     return covered / chi2_cdf(low, P + 2)
 
 
-def fitted(rows: DataFrame, covered: float = COVERED, steps: int = 4) -> DataFrame:
-    """The estimate of each group after some concentration steps; rows come from vectors()."""
-    fit = cut(rows.where(~F.col("_q.base_failed") & F.col("_group").isNotNull()).select(F.explode("_fit").alias("_group"), *[f"x{k}" for k in range(P)]), "mcd-fit")
-    estimate = cut(start(fit), "mcd-step")
-    for _ in range(steps):
-        estimate = cut(concentrated(fit, estimate, covered), "mcd-step")
-    return estimate
+def cutoff(tail: float) -> float:
+    """The squared distance that a share `tail` of normal vectors exceeds."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - chi2_cdf(mid, P) > tail else (low, mid)
+    return high
 
 
-def judged(stats: DataFrame, cutoff: float = CUTOFF, covered: float = COVERED, least_group: int = 50, steps: int = 4) -> DataFrame:
+def fitted(rows: DataFrame, covered: float = COVERED, least_group: int = 50, most_steps: int = 200) -> DataFrame:
+    """The estimate of each group: concentration steps from every start until its determinant no longer falls, then the least."""
+    spark, key = rows.sparkSession, ["_group", "start"]
+    fit = cut(rows.where(~F.col("_q.base_failed") & F.col("_group").isNotNull()).select(F.explode("_fit").alias("_group"), *[f"x{k}" for k in range(P)]), "mcd-fit")
+    now, path = written(starts(fit, covered, least_group), "mcd-step")
+    # Every step has a row a group and start, as the first has; so its size is proven once.
+    hint = F.broadcast if now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    for _ in range(most_steps):
+        active = now.where("active")
+        if active.isEmpty():
+            break
+        new = concentrated(fit, active, covered, hint).select(*key, *[F.col(c).alias(f"new_{c}") for c in ("centre", "inverse", "det")])
+        falls = F.coalesce(F.col("new_det") < F.col("det") * (1 - LEAST_FALL), F.lit(False))
+        taken = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "det")]
+        after, to = written(now.join(new, key, "left").select(*key, "ridge", "h", *taken, falls.alias("active")), "mcd-step")
+        dropped(spark, path)
+        now, path = after, to
+    best = now.groupBy("_group").agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("e"))
+    return cut(best.select("_group", "e.centre", "e.inverse"), "mcd-estimates")
+
+
+def judged(stats: DataFrame, tail: float = TAIL, covered: float = COVERED, least_group: int = 50) -> DataFrame:
     """stats (with _q, lang, source; see with_statistics) with _distance and _kept."""
     rows = vectors(stats, least_group)
-    out = rows.join(small(fitted(rows, covered, steps)), "_group", "left").withColumn("_distance", distance())
-    return out.withColumn("_kept", ~F.col("_q.base_failed") & (F.coalesce("_distance", F.lit(0.0)) <= cutoff)).drop("_group", "_fit", "centre", "inverse", *[f"x{k}" for k in range(P)])
+    out = rows.join(small(fitted(rows, covered, least_group)), "_group", "left").withColumn("_distance", distance())
+    return out.withColumn("_kept", ~F.col("_q.base_failed") & (F.coalesce("_distance", F.lit(0.0)) <= cutoff(tail))).drop("_group", "_fit", "centre", "inverse", *[f"x{k}" for k in range(P)])
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
