@@ -14,7 +14,8 @@ large-star and small-star passes, each written to the shared folder.
 
 Edge cases: null or wordless text has fingerprint zero and is linked like any other; fewer words than the shingle give one
 shingle of all words; repeated rows each get their row; null doc_id gets the component of its fingerprint's group; an empty
-table gives no rows; only doc_id and text are read. Texts are never cut.
+table gives no rows; near_duplicates() reads doc_id and text only, keep_one() keeps docs' columns, also where names clash
+with its own. Texts are never cut: long ones are hashed in pieces of 65,536 shingles.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from incipit.llm.components import components
-from incipit.scale import cut, written
+from incipit.scale import cut
 
 #: First bit and width of the three segments; together 64 bits.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -97,26 +99,45 @@ def links(fps: DataFrame, pair_limit: int = 64) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, pair_limit: int = 64) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id among all that are linked, directly or not."""
-    prints = cut(fingerprints(docs, shingle), "simhash-fp")
+def grouped(prints: DataFrame, pair_limit: int = 64) -> DataFrame:
+    """fp, root (the least fingerprint of its component), component_id (the smallest doc_id there), from doc_id and fp."""
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    edges = links(groups.select("fp"), pair_limit)
-    roots = components(edges)  # node, root: for linked fingerprints only
+    roots = components(links(groups.select("fp"), pair_limit))  # node, root: for linked fingerprints only
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, pair_limit: int = 64) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id among all that are linked, directly or not."""
+    prints = cut(fingerprints(docs, shingle), "simhash-fp")
+    return prints.join(grouped(prints, pair_limit).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, pair_limit: int = 64) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; all columns of docs.
+    """Exactly one row of each component, with docs' columns.
 
-    doc_id names a document: rows that repeat it count once. Rows without doc_id cannot be named and stay.
+    It is a row of the smallest doc_id (null last), there of the least fingerprint, and among those that are still level the
+    least row by its JSON. So rows that share a doc_id but not their text are told apart, and reruns keep the same rows.
     """
-    found = near_duplicates(docs, shingle, pair_limit)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps], ["doc_id", "_doc", "fp"])
+
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("_doc", docs.schema), StructField("fp", LongType())])
+    rows = cut(docs.select("doc_id", "text", whole).mapInArrow(run, schema), "simhash-rows")
+    prints = rows.select("doc_id", "fp")
+    roots = grouped(prints, pair_limit).select("fp", "root")
+    counted = prints.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(roots, "fp")
+    first = counted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp", "n")).alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.fp").alias("kept_fp"), "m.n")
+    first = cut(first, "simhash-kept")
+    on = (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    single = rows.join(first.where("n = 1"), on, "left_semi").select("_doc.*")
+    level = rows.join(first.where("n > 1"), on, "left_semi").groupBy("doc_id", "fp").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
+    return single.unionByName(level)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

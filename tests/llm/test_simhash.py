@@ -104,10 +104,33 @@ def groups(nodes, edges):
     return sorted(map(sorted, out.values()))
 
 
-def test_empty_and_keep_one(spark):
+def test_long_text(spark):
+    """More shingles than one piece holds, and a text of one very long word."""
+    r = random.Random(1)
+    long = " ".join(str(r.randrange(5000)) for _ in range(140_000))
+    rows = [(1, long), (2, long + " End"), (3, "x" * 2_000_000), (4, None)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(empty).count() == 0
-    docs = spark.createDataFrame([(1, "a b c d", "s"), (2, "a b c d", "s"), (3, "other words are here", None), (3, "other words are here", None), (None, "a b c d", "s")], "doc_id long, text string, source string")
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_keep_one(spark):
+    """One row of each component; a repeated doc_id with another text is another document; rerun on other partitions."""
+    rows = [(1, "a b c d", "s", 0), (2, "a b c d", "s", 0), (3, "other words are here", None, 1), (3, "other words are here", None, 0), (3, "quite different text of its own", "t", 1), (None, "a b c d", "s", 3), (None, "nobody named this one", "s", 4), (None, "nobody named this ONE", "s", 4), (4, None, None, None), (5, "", "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, _doc int")
+    want = sorted([(1, "a b c d", "s", 0), (3, "other words are here", None, 0), (3, "quite different text of its own", "t", 1), (None, "nobody named this ONE", "s", 4), (4, None, None, None)], key=str)
+    for df in (docs, docs.repartition(5)):
+        kept = simhash.keep_one(df)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == want
+
+
+def test_keep_one_against_brute_force(spark):
+    rows = corpus()
+    fps = {(d, t): f for (d, t), f in ((x, brute_fp(x[1])) for x in rows)}
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    comp = {(d, f): c for d, f, c in brute(rows)}
+    assert len({comp[d, f"{fps[d, t]:016x}"] for d, t in kept}) == len(kept) == len(set(comp.values()))
