@@ -14,14 +14,19 @@ blocks. Equal vectors are one class: classes are searched, and the least ids of
 Bounds: a partition is cut by a hash into pieces of at most about `part_rows` vectors, and its queries likewise, so no task
 holds more than one piece of each; the sample that the projections are fitted on has `fit_rows` vectors.
 
-Edge cases: null and zero vectors, and those with null or non-finite components or of another length than most, take no
-part; vec_id names a vector: of rows that repeat it, the least vector counts; null vec_id takes no part; fewer candidates
-than k give fewer rows; an empty table gives none; other columns are not read.
+Ties: within a range every candidate within rounding of the k-th largest product is summed again in double precision, in
+blocks, and only then ordered by score and id, so the smaller vec_id wins wherever it was visited.
+
+Edge cases: null and zero vectors and those with null or non-finite components take no part; vectors of different lengths
+have no inner product, so each length is searched by itself; a row is a candidate of every query but itself: rows that
+repeat a vec_id, with the same vector or another, are rows of their own; null vec_id takes no part; fewer candidates than k
+give fewer rows; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +88,23 @@ def coded(classes: DataFrame, forest, query: bool, name: str) -> DataFrame:
     return classes.select("rep", "vec").mapInArrow(run, f"tree int, code long, {name} long")
 
 
+def best_of(q: np.ndarray, qx: np.ndarray, c: np.ndarray, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's m best candidates by exact score, then id: query, candidate, score."""
+    rough = qx @ x.T
+    if rough.shape[1] > m:
+        last = np.partition(rough, -m, axis=1)[:, -m]
+        slack = 1e-12 * x.shape[1] * np.linalg.norm(qx, axis=1) * np.linalg.norm(x, axis=1).max()  # above any rounding
+        row, col = np.nonzero(rough >= (last - slack)[:, None])
+    else:
+        row, col = (v.ravel() for v in np.indices(rough.shape))
+    # The same sum for a pair in every tree; in blocks, since ties may be many.
+    score = np.concatenate([(qx[row[at : at + 100_000]] * x[col[at : at + 100_000]]).sum(axis=1) for at in range(0, len(row), 100_000)])
+    order = np.lexsort((c[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < m
+    return q[row[keep]], c[col[keep]], score[keep]
+
+
 def bounds(codes: np.ndarray, q: np.ndarray, shift) -> tuple[np.ndarray, np.ndarray]:
     """Where the codes that share q's prefix (all but the last shift bits) start and end in sorted codes."""
     head = q >> shift
@@ -91,14 +113,17 @@ def bounds(codes: np.ndarray, q: np.ndarray, shift) -> tuple[np.ndarray, np.ndar
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 12, bits: int = 32, share: float = 1.2, least: int = 1000, part_rows: int = 20_000, fit_rows: int = 20_000, seed: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score; vectors has vec_id long and embedding array<float>, is_query is a SQL predicate of vec_id."""
-    spark, is_query = vectors.sparkSession, F.expr(is_query)
     valid = vectors.select("vec_id", F.col("embedding").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    dims = valid.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = cut(valid.where(F.size("vec") == dims.d).groupBy("vec_id").agg(F.min("vec").alias("vec")), "ann-vectors")
+    valid = cut(valid.withColumn("d", F.size("vec")), "ann-vectors")
+    found = [searched(valid.where(F.col("d") == r.d).drop("d"), is_query, k, trees, bits, share, least, part_rows, fit_rows, seed) for r in valid.select("d").distinct().collect()]  # lengths are few
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def searched(valid: DataFrame, is_query: str, k: int, trees: int, bits: int, share: float, least: int, part_rows: int, fit_rows: int, seed: int) -> DataFrame:
+    """nearest() for usable vectors of one length (vec_id, vec)."""
+    spark, is_query = valid.sparkSession, F.expr(is_query)
 
-    # Classes of equal vectors: representative (least id), whether a query is among them, and the k + 1 least ids.
+    # Classes of equal vectors: representative (least id), whether a query is among them, and the k + 1 least ids (repeated ones repeat).
     classes = cut(valid.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.max(is_query).alias("asks")), "ann-classes")
     first = valid.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = cut(first.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("c"), "ids"), "ann-members")
@@ -162,14 +187,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 12, bit
                 for part in np.array_split(rows, max(1, math.ceil(len(rows) * (b - a) / 4e6))):  # bounds the score matrix
                     if a == b or not len(part):
                         continue
-                    s = qx[part] @ x[a:b].T
-                    m = min(b - a, k + 4)
-                    top = np.argpartition(-s, m - 1, axis=1)[:, :m] + a
-                    exact = (qx[part][:, None, :] * x[top]).sum(axis=2)  # the same sum for a pair in every tree
-                    keep = np.lexsort((reps[top], -exact), axis=1)[:, : k + 1]
-                    q_out.append(np.repeat(q[part], keep.shape[1]))
-                    c_out.append(np.take_along_axis(reps[top], keep, 1).ravel())
-                    s_out.append(np.take_along_axis(exact, keep, 1).ravel())
+                    for out, values in zip((q_out, c_out, s_out), best_of(q[part], qx[part], reps[a:b], x[a:b], k + 1), strict=True):
+                        out.append(values)
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table([flat(q_out, pa.int64()), flat(c_out, pa.int64()), flat(s_out, pa.float64())], names=["q", "c", "score"])
 
@@ -180,11 +199,13 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 12, bit
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     by_id = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.join(members, "c").select("q", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-    found = cut(found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "vec_id"))).alias("near")), "ann-found")
-    queries = valid.where(is_query).join(classes.where("asks").select("vec", F.col("rep").alias("q")), "vec").select(F.col("vec_id").alias("query_id"), "q")
-    near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return queries.join(found, "q").select("query_id", F.posexplode(near).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.away")).alias("score"))
+    found = found.join(members, "c").select("q", "score", "c", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
+    found = cut(found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "vec_id", "c"))).alias("near")), "ann-found")
+    queries = valid.where(is_query).join(classes.where("asks").select("vec", F.col("rep").alias("q")), "vec").select(F.col("vec_id").alias("query_id"), "q").join(found, "q")
+    # The query's own row is the first entry with its id and its vector.
+    own = F.array_position(F.transform("near", lambda x: F.struct(x["vec_id"].alias("i"), x["c"].alias("c"))), F.struct(F.col("query_id").alias("i"), F.col("q").alias("c"))) - 1
+    near = F.slice(F.filter("near", lambda x, i: i != F.col("own")), 1, k)
+    return queries.withColumn("own", own).select("query_id", F.posexplode(near).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.away")).alias("score"))
 
 
 def op4_ann(spark, sf_dir: str) -> DataFrame:

@@ -48,14 +48,38 @@ def test_recall_and_scores(spark):
             assert all(abs(s - x[q].astype(float) @ x[v].astype(float)) < 1e-9 for v, s in near)
 
 
+def brute_rows(rows, k=20):
+    """By row: (query_id, [(vec_id, score)]) for every usable query row, against all usable rows of its length but itself."""
+    rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float((q * v).sum()), j) for m, (j, v) in enumerate(rows) if m != n and len(v) == len(q))[:k]
+            out.append((i, [(j, -s) for s, j in near]))
+    return sorted(out)
+
+
+def by_row(df):
+    """Results as brute_rows has them, for tables where a query_id may repeat: as a multiset of (query, rank, id)."""
+    return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in df.collect())
+
+
 def test_exact_with_all_candidates_ties_and_bad_rows(spark):
     ids, x = data(300, 8)
     x[100:180] = x[3]  # a large class, queries among it
     x[200] = x[7]
-    bad = [(1000, None), (1020, [0.0] * 8), (1040, [1.0] * 7 + [None]), (1060, [float("nan")] * 8), (1080, [float("inf")] * 8), (1100, [1.0, 2.0]), (None, [1.0] * 8), (1120, [])]
-    rows = list(zip(ids.tolist(), x.tolist())) + bad + [(40, x[40].tolist())]
-    got, want = results(ann.nearest(frame(spark, rows), IS_QUERY, share=100.0)), brute(ids, x)
-    assert {q: [a for a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in want.items()}
+    bad = [(1000, None), (1020, [0.0] * 8), (1040, [1.0] * 7 + [None]), (1060, [float("nan")] * 8), (1080, [float("inf")] * 8), (1100, [1.0, 2.0]), (1120, []), (None, [1.0] * 8)]
+    rows = list(zip(ids.tolist(), x.tolist())) + bad + [(40, x[40].tolist()), (60, x[41].tolist()), (61, x[42].tolist()), (1160, [2.0, 2.0]), (7, [1.0, -3.0])]
+    got = ann.nearest(frame(spark, rows), IS_QUERY, share=100.0)
+    assert by_row(got) == sorted((q, n + 1, j, round(s, 9)) for q, near in brute_rows(rows) for n, (j, s) in enumerate(near))
+
+
+def test_many_ties_of_different_vectors(spark):
+    """399 distinct vectors with one inner product: the smallest ids win, in pieces and whole."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(i % 21 - 10), float(i // 21 - 10)]) for i in range(1, 400)]
+    for part in (20_000, 50):
+        got = results(ann.nearest(frame(spark, rows), "vec_id = 0", share=100.0, part_rows=part))
+        assert got == {0: [(i, 0.5) for i in range(1, 21)]}
 
 
 def test_few_rows(spark):
