@@ -10,9 +10,12 @@ Labelled samples: random strings are generated by hashing (`samples` of each alp
 `train_docs` documents (those with the lowest hash), with base matches cut out. Both bounds are parameters. The model is a
 table of fixed size (alphabet squared), so it may pass through the driver; scanning is one narrow pass without a shuffle.
 
-Edge cases: null text is empty and has no spans; texts are scanned whole; repeated rows each get their row; empty tables
-give no rows (the model of an empty table is uniform over identifiers); extra columns are not read by scan() and are kept by
-redacted(), whose own helper columns are named with a prefix.
+Offsets are running sums in blocks, overlaps one merge by start, and redaction cuts the text in blocks once, so a text of many
+secrets costs little more than its length.
+
+Edge cases: null text is empty and has no spans; texts are scanned whole, however long; repeated rows each get their row;
+empty tables give no rows (the model of an empty table is uniform over identifiers); extra columns are not read by scan()
+and are kept by redacted(), also where names clash with its own.
 """
 
 from __future__ import annotations
@@ -38,21 +41,36 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def running(values: Column, op, zero: Column) -> Column:
+    """Inclusive running results of an associative op over an array of int: in blocks of its length's root, since a fold that
+    appends to an array copies it each time."""
+
+    def fold(a: Column, first: Column) -> Column:
+        start = F.struct(first.alias("last"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, start, lambda s, x: let(op(s["last"], x), lambda y: F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out"))), lambda s: s["out"])
+
+    def blocked(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), width), lambda at: F.slice(v, at + 1, width))
+
+        def joined(b: Column) -> Column:
+            totals = fold(F.transform(b, lambda x: F.aggregate(x, zero, op)), zero)
+            return let(totals, lambda before: F.flatten(F.transform(b, lambda x, i: fold(x, F.when(i > 0, F.get(before, i - 1)).otherwise(zero)))))
+
+        return let(blocks, joined)
+
+    return let(values, blocked)
+
+
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end>> of the pattern's matches; keep(match) drops some after matching."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def offsets(found: Column) -> Column:
-        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), (F.lit(True) if keep is None else keep(m)).alias("ok")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + x["gap"]
-            one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["n"]).alias("end")))
-            return F.struct((begin + x["n"]).alias("at"), F.when(x["ok"], F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-        walk = F.aggregate(F.filter(pairs, lambda x: x["n"].isNotNull()), start, step, lambda a: a["out"])
-        return F.when(F.size(found) > 0, walk).otherwise(none)
+        steps = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.length(gap) + F.length(m)), lambda n: n.isNotNull())
+        ends = running(steps, lambda a, x: a + x, F.lit(0))
+        spans = F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (F.lit(True) if keep is None else keep(m)).alias("ok")))
+        return F.when(F.size(found) > 0, F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), offsets)
 
@@ -67,6 +85,28 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def furthest(spans: Column) -> Column:
+    """The furthest end of the spans before each, 0 at first; spans come by start."""
+    return F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0)))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of `spans` (which do not overlap each other) that no span of `others` overlaps: one merge by start."""
+
+    def merged(both: Column) -> Column:
+        ends = F.transform(both, lambda s: F.when(s["mine"], 0).otherwise(s["end"]))
+        upto = F.concat(F.array(F.lit(0)), running(ends, lambda a, x: F.greatest(a, x), F.lit(0)))  # of others before each
+
+        def alone(upto: Column) -> Column:
+            marked = F.transform(both, lambda s, i: s.withField("ok", s["mine"] & (F.get(upto, i) <= s["start"]) & (F.coalesce(F.get(both, i + 1)["start"], s["end"]) >= s["end"])))
+            return F.transform(F.filter(marked, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+        return let(upto, alone)
+
+    tagged = lambda a, mine: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(mine).alias("mine"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.sort_array(F.concat(tagged(others, False), tagged(spans, True))), merged)).otherwise(spans)
+
+
 def random_strings(spark, samples: int) -> DataFrame:
     """Label random: hexadecimal of both cases, base64 and base62 strings from hashes of a counter."""
     seed = F.sha2(F.concat(F.lit("incipit"), F.col("id").cast("string")), 256)
@@ -122,20 +162,21 @@ def ratio(run: Column, model: list[int]) -> Column:
     return F.aggregate(F.split(run, ""), start, step, lambda a: a["sum"])
 
 
-def markov_spans(text: Column, base: Column, model: list[int]) -> Column:
+def random_runs(text: Column, model: list[int]) -> Column:
+    """Spans of the long runs of token characters that the models call random."""
     pattern = f"(?<![{RUN_CLASS}])[{RUN_CLASS}]{{{LEAST_RUN},}}+"
 
     def random(run: Column) -> Column:
         return let(ratio(run, model), lambda s: (s >= LEAST_SUM) & (s >= F.length(run) * LEAST_MEAN))
 
-    return F.filter(spans_of(text, pattern, 3, random), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return spans_of(text, pattern, 3, random)
 
 
 def with_spans(docs: DataFrame, model: list[int]) -> DataFrame:
-    """docs with _base and _spans (all, by start, then kind)."""
+    """docs with _base, _random (runs that the models call random) and _spans (base and the random runs apart from it, by start, then kind)."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("_base", base_spans(text))
-    return docs.withColumn("_spans", F.sort_array(F.concat("_base", markov_spans(text, F.col("_base"), model))))
+    docs = docs.withColumns({"_base": base_spans(text), "_random": random_runs(text, model)})
+    return docs.withColumn("_spans", F.sort_array(F.concat("_base", apart(F.col("_random"), F.col("_base")))))
 
 
 def listed(spans: Column) -> Column:
@@ -143,27 +184,42 @@ def listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: list[int] | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov (spans that the models add), n_confirmed (runs the models
+    call random that overlap a base span: what they would have found by themselves)."""
     docs = docs.select("doc_id", "text")
     found = with_spans(docs, trained(docs) if model is None else model)
-    n = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    n = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    counts = [n("_base", 0).alias("n_assign"), n("_base", 1).alias("n_access"), n("_base", 2).alias("n_hex")]
+    added = n("_spans", 3)
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"), added.alias("n_markov"), (F.size("_random") - added).alias("n_confirmed"))
 
 
 def redacted(docs: DataFrame, model: list[int] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by the mark (spans that overlap share one), and n_chars, where there is one, recounted."""
-    found = with_spans(docs, trained(docs) if model is None else model)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    text = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    model = trained(docs) if model is None else model
+    found = with_spans(docs.select(whole, "text"), model)
+    block = 1000  # code points: the text is cut up once, so that a piece is found without walking the text from its start
+
+    def replaced(blocks: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / block).cast("int")
+            some = F.array_join(F.slice(blocks, first + 1, F.floor(end / block).cast("int") - first + 1), "")
+            return F.substring(some, begin - first * block + 1, end - begin)
+
+        def pieces(upto: Column) -> Column:
+            gaps = F.transform(F.col("_spans"), lambda s, i: F.struct(F.get(upto, i).alias("begin"), s["start"].alias("end")))
+            tail = F.struct(F.element_at(upto, -1).alias("begin"), F.length("text").alias("end"))
+            # A span that overlaps what came before it has no gap and no mark of its own.
+            return F.array_join(F.transform(F.filter(F.concat(gaps, F.array(tail)), lambda g: g["begin"] <= g["end"]), lambda g: piece(g["begin"], g["end"])), mark)
+
+        return let(furthest(F.col("_spans")), pieces)
+
+    text = let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), replaced)
+    some = F.size("_spans") > 0
+    out = found.select("_doc", F.when(some, text).otherwise(F.col("text")).alias("_text"), some.alias("_some"))
+    own = {"text": F.col("_text"), "n_chars": F.when(F.col("_some"), F.length("_text").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[own[c].alias(c) if own.get(c) is not None else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -54,11 +55,81 @@ def test_markov_on_held_out(spark, model):
     assert not [k for k in hit if k >= len(rnd)]
 
 
+def llr(run, model):
+    """The run's log-likelihood ratio, character by character."""
+    n, before, total = len(secrets.ALPHABET), 0, 0
+    for c in run:
+        b = secrets.ALPHABET.index(c) + 1
+        total += model[before * n + b - 1]
+        before = b
+    return total
+
+
+def brute_markov(text, model):
+    """Random runs, and those of them that no base span overlaps."""
+    text = text or ""
+    base = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text, re.A) if len(m[2]) >= 8 and m[1].isascii()]
+    base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    runs = [m.span() for m in re.finditer(f"[{secrets.RUN_CLASS}]+", text) if len(m[0]) >= secrets.LEAST_RUN and llr(m[0], model) >= max(secrets.LEAST_SUM, len(m[0]) * secrets.LEAST_MEAN)]
+    return runs, [(a, b) for a, b in runs if not any(c < b and a < d for c, d in base)]
+
+
+def secret_texts():
+    """Texts where random runs stand alone, touch base spans from either side, or hold them."""
+    r = random.Random(6)
+    b64 = lambda n: base64.b64encode(r.randbytes(n)).decode().rstrip("=")
+    out = [f"key {b64(24)} and {b64(33)}, then words_of_an_identifier_here {b64(18)}", f"secret={b64(24)} {b64(24)}", f"{b64(24)}_token={b64(30)}", f"token = x.{b64(24)}", f"AKIA{'Q7' * 10}{b64(9).lower()} {b64(30)}", f"{b64(12)}{'0123456789abcdef' * 2}{b64(12)} é𝔘 {b64(24)}"]
+    for _ in range(20):
+        parts = [r.choice([b64(r.randint(12, 40)), "%032x" % r.getrandbits(128), "token: " + b64(6), "plain", "AKIA" + "Z9" * 8, "passwd=short", "é"]) for _ in range(r.randint(1, 60))]
+        out.append(r.choice([" ", "\n", ",", ""]).join(parts))
+    return out
+
+
+def test_markov_spans(spark, model):
+    """Markov spans against brute force on a corpus where the models fire."""
+    texts = TEXTS + secret_texts()
+    fired = 0
+    for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        runs, alone = brute_markov(texts[r.doc_id], model)
+        assert [s for s in r.spans.split(",") if s.startswith("markov")] == [f"markov:{a}:{b}" for a, b in alone]
+        assert (r.n_markov, r.n_confirmed) == (len(alone), len(runs) - len(alone))
+        assert r.base_sha256 == brute(texts[r.doc_id])[1]
+        fired += len(alone)
+    assert fired > 50
+
+
 def test_redacted(spark, model):
     docs = spark.createDataFrame([(1, 'é token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" end', 57), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(docs, model).collect()}
     assert got == {1: ('é [SECRET]" end', 15), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_redacted_against_brute_force(spark, model):
+    texts = TEXTS + secret_texts() + ["a" * 999 + " token=abcdefgh" + "é" * 3000 + " secret=12345678"]
+    docs = spark.createDataFrame([(k, t, "mine", 7) for k, t in enumerate(texts)], "doc_id long, text string, _spans string, _doc int")
+    spans = {r.doc_id: sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in r.spans.split(",") if s)) for r in secrets.scan(docs, model).collect()}
+    got = secrets.redacted(docs, model)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for a, b in spans[r.doc_id]:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == (None if text is None else out + text[at:]) and (r._spans, r._doc) == ("mine", 7)
+
+
+@pytest.mark.parametrize("between", [" ", "\n"])
+def test_many_digests_in_one_text(spark, model, between):
+    """40,000 digests in one text: found and redacted in little more than reading them takes."""
+    text = between.join("%032x" % random.Random(k).getrandbits(128) for k in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = secrets.scan(docs, model).first()
+    assert r.n_hex == 40_000 and r.base_sha256 == brute(text)[1] and r.n_markov == 0
+    assert secrets.redacted(docs, model).first().text == between.join(["[SECRET]"] * 40_000)
+    assert time.time() - began < 60  # a quadratic form takes minutes
+
+
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
