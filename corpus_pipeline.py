@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again as the next
 stage's docs. All but the last return the columns of documents.
+
+Edge cases: documents without text or with fewer than 50 words go with the rules; very long texts are taken whole at every
+stage; of repeated rows and copies one stays, and the mix may take it twice; null doc_id, lang or source are values of their
+own; an empty table passes through empty; extra columns stay, whatever their names, up to the encoding.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, shard_as=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ times. Blocks of all passes then go to output shards: a binary tree over the sha
 count by multivariate-hypergeometric draws, leaf quotas cut the source's permuted block list into disjoint pieces, and each
 shard shuffles its rows by a hash.
 
-Only block sums are sorted by source (their number is bounded by `blocks`), documents are sorted only within the one block
-where a target falls, and everything else is partial sums and joins on (source, block), which split hot sources.
+Scale: only block sums are sorted by source (their number is bounded by `blocks` and the number of sources), documents are
+sorted only within the one block where a target falls, and everything else is partial sums and joins on (source, block),
+which split hot sources. Sources may be very many: their ranks come from ranges, the level of the water from a few sums over
+all of them, and the tree splits chunks of `chunk` sources (first the chunks' totals, then each chunk by itself).
 
 Edge cases: null text has size 0; null source is a source of its own; a source without words has target 0 and nothing is
-taken; identical rows (same doc_id and text) are drawn together; empty table: no rows; extra columns are kept by mix()
-unless they clash with its own (`size`, `source_size`, `target`, `copies`, `shards`, `shard`), then its own win.
+taken; rows with the same doc_id and text are numbered, so they are drawn one by one; very long texts are only counted and
+hashed; empty table: no rows; mix() keeps docs' columns, whatever their names; its own column `shard` (the name is a
+parameter, None leaves it out) takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -28,39 +31,72 @@ from incipit.scale import cut, small
 
 WEIGHTS = (5, 2, 1)
 SEED = 8
-OWN = ("size", "key", "h", "block", "source_size", "target", "copies", "shards", "shard", "epoch", "position")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with size (words), key (its place in its source's permutation) and h (the key's first 32 bits)."""
+def sized(docs: DataFrame) -> DataFrame:
+    """_doc (the row), source, size (words) and key (an MD5 of doc_id and text)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
-    return docs.drop(*[c for c in docs.columns if c in OWN]).withColumns({"size": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "key": key}).withColumn("h", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
+    return docs.select(whole, "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), key.alias("key"))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows of sized(), written, with key made unique (a row's place in its source's permutation) and h, the key's first 32 bits.
+
+    Of rows with one key the n-th (from 0) gets the MD5 of `key|n`: numbers count up by written part, then in the part, so even
+    a key that very many rows share meets in no task.
+    """
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()), "mix-keyed")
+    twins = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mix-twins")
+    part = F.shiftright("at", 33)
+    same_key = rows.select("key", "at").join(small(twins), "key").withColumn("part", part)
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    parts = same_key.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before.alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("at")) - 1
+    renamed = same_key.join(parts, ["key", "part"]).withColumn("number", number).where("number > 0")
+    renamed = small(cut(renamed.select("at", F.md5(F.concat_ws("|", "key", "number")).alias("new_key")), "mix-numbered"))
+    rows = rows.join(renamed, "at", "left").withColumn("key", F.coalesce("new_key", "key")).drop("at", "new_key")
+    return rows.withColumn("h", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
 
 
 def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes (a row per source) with k: the source's rank by code point, null last. Ranges are ranked apart, then shifted."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("k", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target, from a row per source. Its windows see one row per source."""
-    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    w = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double")).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    every = Window.partitionBy()
-    # With the sources in the order they fill up: the level at which the rest would stand if all before this one are full.
-    w = w.withColumn("before", F.sum("cap").over(order) - F.col("cap")).withColumn("left", F.sum("w").over(every) - F.sum("w").over(order) + F.col("w"))
-    w = w.withColumn("level", (F.sum("source_size").over(every) * share - F.col("before")) / F.col("left"))
-    level = F.first(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.coalesce(level * F.col("w"), F.col("cap").cast("double")), F.col("cap").cast("double")))
-    return w.select("source", "source_size", target.alias("target"))
+    """source, source_size, target, from a row per source."""
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double")
+    rows = cut(ranked(sizes).withColumns({"w": w, "cap": F.col("source_size") * most}), "mix-weights")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    # The level of the water: sources that it would fill beyond their cap stand at the cap, and it rises for the others.
+    level, full = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("w") if full >= 0 else F.lit(False)
+        s = rows.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0)), F.count_if(over)).first()
+        if s[2] == full:
+            break
+        full = s[2]
+        level = (total * share - s[0]) / s[1] if s[1] else float("inf")
+    cap = F.col("cap").cast("double")
+    return rows.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(level) * F.col("w"), cap)).alias("target"))
 
 
 def plan(rows: DataFrame, shards: int, blocks: int, share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is drawn, from rows (source, size, key, h): sources (with the cut), extra documents, and the shards of each block."""
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
-    total = F.sum("source_size").over(Window.partitionBy())
-    s = targets(sizes, share, most).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") * blocks / F.greatest(total, F.lit(1)))).cast("long"))
+    total = max(1, sizes.agg(F.sum("source_size")).first()[0] or 0)
+    s = targets(sizes, share, most).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") * blocks / total)).cast("long"))
     goal = F.round("target").cast("long")
     s = s.withColumn("full", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("int")).withColumn("rest", goal - F.col("full") * F.col("source_size"))
     sources = cut(s.withColumnRenamed("source", "src"), "mix-sources")
@@ -72,7 +108,7 @@ def plan(rows: DataFrame, shards: int, blocks: int, share: float = 1.5, most: in
     edge = cut(
         sums.withColumn("upto", F.sum("words").over(order)).where("upto > rest").groupBy("src").agg(F.min(F.struct("block", (F.col("upto") - F.col("words")).alias("before"))).alias("e")).select(F.col("src").alias("edge_src"), F.col("e.block").alias("edge"), "e.before"), "mix-edge"
     )
-    by_key = Window.partitionBy("src").orderBy("key")  # ties share a place
+    by_key = Window.partitionBy("src").orderBy("key")
     inside = (
         placed.join(small(edge), same("src", "edge_src") & (F.col("block") == F.col("edge")))
         .withColumn("upto", F.col("before") + F.sum("size").over(by_key))
@@ -85,15 +121,16 @@ def plan(rows: DataFrame, shards: int, blocks: int, share: float = 1.5, most: in
     cuts = edge.join(inside, same("edge_src", "in_src"), "left").select("edge_src", "edge", F.coalesce("key", F.lit("")).alias("last_key"), F.coalesce("upto", "before").alias("drawn"))
     sources = cut(sources.join(cuts, same("src", "edge_src"), "left").drop("edge_src").withColumn("gap", F.coalesce(F.col("rest") - F.col("drawn"), F.lit(0))), "mix-cuts")
 
-    # The largest document that still fits, three times.
-    extras = None
-    now = sources
+    # The largest document that still fits, three times: of each size only the last three keys can be taken.
+    loose = rows.join(small(sources), same("source", "src")).withColumn("block", block_of()).where(~in_prefix()).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    last = Window.partitionBy("source", "size").orderBy(F.desc("key"))
+    fits = cut(loose.select("source", "size", "key", F.row_number().over(last).alias("r")).where("r <= 3").drop("r"), "mix-fits")
+    now, extras = sources.select("src", "gap"), None
     for _ in range(3):
-        loose = rows.join(small(now), same("source", "src")).withColumn("block", block_of()).where(~in_prefix()).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-        if extras is not None:
-            loose = loose.join(small(extras), same("source", "extra_src") & (F.col("key") == F.col("extra_key")), "left_anti")
-        pick = cut(loose.groupBy("source").agg(F.max(F.struct("size", "key")).alias("m")).select(F.col("source").alias("extra_src"), F.col("m.key").alias("extra_key"), F.col("m.size").alias("extra_size")), "mix-extra")
-        now = cut(now.join(pick, same("src", "extra_src"), "left").withColumn("gap", F.col("gap") - F.coalesce("extra_size", F.lit(0))).drop("extra_src", "extra_key", "extra_size"), "mix-gap")
+        left = fits if extras is None else fits.join(small(extras), same("source", "extra_src") & (F.col("key") == F.col("extra_key")), "left_anti")
+        left = left.join(small(now), same("source", "src")).where(F.col("size") <= F.col("gap"))
+        pick = cut(left.groupBy("source").agg(F.max(F.struct("size", "key")).alias("m")).select(F.col("source").alias("extra_src"), F.col("m.key").alias("extra_key"), F.col("m.size").alias("extra_size")), "mix-extra")
+        now = cut(now.join(pick, same("src", "extra_src"), "left").select("src", (F.col("gap") - F.coalesce("extra_size", F.lit(0))).alias("gap")), "mix-gap")
         extras = pick.drop("extra_size") if extras is None else extras.unionByName(pick.drop("extra_size"))
     extras = cut(extras, "mix-extras")
 
@@ -156,30 +193,46 @@ def hypergeometric(total: Column, marked: Column, n: Column, u: Column) -> Colum
     return let([total, marked, n, u, low, high], draw)
 
 
-def leaf_ranks(units: DataFrame, shards: int) -> DataFrame:
-    """leaf_source, leaf_rank, shard: which of a source's permuted blocks go to which shard, by the splitting tree."""
-    counts = units.groupBy("source").agg(F.count("*").alias("n"))
-    # One row: sources in order with their block counts, and the tree's root.
-    node = counts.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("all")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("all.source").alias("sources"), F.col("all.n").alias("quotas")).where("size(sources) > 0")
-    depth = (shards - 1).bit_length()
-    for _ in range(depth):
+def split(rows: DataFrame, shards: int) -> DataFrame:
+    """The tree: rows (id, names, quotas, by_shard) to leaves (shard, names, quotas).
+
+    A node holds the shards from lo to hi. Of its units as many go left as by_shard has there; a quota's part of them is drawn
+    hypergeometrically, given what the quotas before it drew.
+    """
+    node = rows.withColumns({"lo": F.lit(0), "hi": F.lit(shards)})
+    inner = F.col("hi") - F.col("lo") > 1
+    plus = lambda a, x: a + x
+    for _ in range((shards - 1).bit_length()):
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        n_all = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
-        n_left = F.round(n_all * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        start = F.struct(n_all.alias("total"), n_left.alias("n"), F.array().cast("array<bigint>").alias("left"))
+        n_left = F.aggregate(F.slice("by_shard", F.col("lo") + 1, F.col("mid") - F.col("lo")), F.lit(0).cast("long"), plus)
+        start = F.struct(F.aggregate("quotas", F.lit(0).cast("long"), plus).alias("total"), n_left.alias("n"), F.array().cast("array<bigint>").alias("left"))
 
         def step(a: Column, x: Column) -> Column:
-            u = (F.xxhash64(F.lit(SEED), F.col("lo"), F.col("hi"), F.size(a["left"])).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-            got = F.get(F.transform(F.array(hypergeometric(a["total"], x, a["n"], u)), lambda g: F.struct((a["total"] - x).alias("total"), (a["n"] - g).alias("n"), F.concat(a["left"], F.array(g)).alias("left"))), F.lit(0))
-            return got
-
-        split = node.withColumn("mid", mid).withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("quotas", start, step, lambda a: a["left"])))
-        halves = F.when(
-            F.col("hi") - F.col("lo") > 1,
-            F.array(F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quotas")), F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas"))),
-        ).otherwise(F.array(F.struct("lo", "hi", "quotas")))
-        node = split.select("sources", F.explode(halves).alias("h")).select("h.lo", "h.hi", "sources", "h.quotas")
-    leaves = cut(node.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("sources", "quotas")).alias("q")).select("shard", F.col("q.sources").alias("leaf_source"), F.col("q.quotas").alias("quota")), "mix-leaves")
+            u = (F.xxhash64(F.lit(SEED), F.col("id"), F.col("lo"), F.col("hi"), F.size(a["left"])).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
+            return F.get(F.transform(F.array(hypergeometric(a["total"], x, a["n"], u)), lambda g: F.struct((a["total"] - x).alias("total"), (a["n"] - g).alias("n"), F.concat(a["left"], F.array(g)).alias("left"))), F.lit(0))
+
+        node = node.withColumn("mid", mid).withColumn("left", F.when(inner, F.aggregate("quotas", start, step, lambda a: a["left"])))
+        halves = F.array(F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quotas")), F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")))
+        node = node.select("id", "names", "by_shard", F.explode(F.when(inner, halves).otherwise(F.array(F.struct("lo", "hi", "quotas")))).alias("h")).select("id", "names", "by_shard", "h.*")
+    return node.select("id", F.col("lo").alias("shard"), "names", "quotas")
+
+
+def leaf_ranks(units: DataFrame, shards: int, chunk: int = 1024) -> DataFrame:
+    """leaf_source, leaf_rank, shard: which of a source's permuted blocks go to which shard, by the splitting tree."""
+    counts = cut(units.groupBy("source").agg(F.count("*").alias("n")), "mix-counts")
+    n_sources, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chunks = max(1, -(-n_sources // chunk))
+    grouped = counts.groupBy(F.pmod(F.xxhash64("source"), F.lit(chunks)).alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("all"), F.sum("n").alias("n"))
+    even = F.array(*[F.lit(total * (s + 1) // shards - total * s // shards).cast("long") for s in range(shards)])
+    rows = grouped.select("id", F.col("all.source").alias("names"), F.col("all.n").alias("quotas"))
+    if chunks == 1:
+        rows = rows.withColumn("by_shard", even)
+    else:  # a row of chunk totals first
+        top = grouped.agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("all")).select(F.lit(-1).cast("long").alias("id"), F.col("all.id").alias("names"), F.col("all.n").alias("quotas"), even.alias("by_shard"))
+        leaves = split(top, shards).select("shard", F.explode(F.arrays_zip("names", "quotas")).alias("q"))
+        by_shard = leaves.groupBy(F.col("q.names").alias("id")).agg(F.array_sort(F.collect_list(F.struct("shard", F.col("q.quotas").alias("n")))).alias("s")).select("id", F.col("s.n").alias("by_shard"))
+        rows = rows.join(cut(by_shard, "mix-chunks"), "id")
+    leaves = cut(split(rows, shards).select("shard", F.explode(F.arrays_zip("names", "quotas")).alias("q")).select("shard", F.col("q.names").alias("leaf_source"), F.col("q.quotas").alias("quota")), "mix-leaves")
     upto = F.sum("quota").over(Window.partitionBy("leaf_source").orderBy("shard"))
     return cut(leaves.withColumn("upto", upto).where("quota > 0").select("leaf_source", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("leaf_rank")), "mix-ranks")
 
@@ -190,19 +243,21 @@ def placed_copies(rows: DataFrame, sources: DataFrame, extras: DataFrame, places
     return at.withColumn("shards", F.coalesce(F.slice("by_epoch", 1, F.greatest("copies", F.lit(0))), F.array().cast("array<int>"))).drop("place_source", "place_block", "by_epoch", "copies")
 
 
-def mix(docs: DataFrame, shards: int = 64, blocks_per_shard: int = 64, share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: a row for each copy taken, with docs' columns and shard; rows of a shard together, in shuffled order."""
-    rows = keyed(docs)
-    found = plan(cut(rows.select("source", "size", "key", "h"), "mix-rows"), shards, shards * blocks_per_shard, share, most)
-    copies = placed_copies(rows, *found).select(*docs.columns, "key", F.posexplode("shards").alias("epoch", "shard"))
-    return copies.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "epoch", "key"), "epoch", "key").drop("key", "epoch")
+def mix(docs: DataFrame, shards: int = 64, blocks_per_shard: int = 64, share: float = 1.5, most: int = 2, shard_as: str | None = "shard") -> DataFrame:
+    """The mix itself: a row for each copy taken, with docs' columns and its shard; rows of a shard together, in shuffled order."""
+    rows = keyed(sized(docs))
+    found = plan(rows.drop("_doc"), shards, shards * blocks_per_shard, share, most)
+    copies = placed_copies(rows, *found).select("_doc", "key", F.posexplode("shards").alias("epoch", "shard"))
+    copies = copies.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "epoch", "key"), "epoch", "key")
+    own = [F.col("shard").alias(shard_as)] if shard_as else []
+    return copies.select(*[F.col(f"_doc.`{c}`") for c in docs.columns if c != shard_as], *own)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = cut(keyed(docs.select("doc_id", "text", "source")).drop("text"), "mix-rows")
-    out = placed_copies(rows, *plan(rows, 64, 64 * 64))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
+    rows = keyed(sized(docs.select("doc_id", "text", "source")).withColumn("_doc", F.struct("_doc.doc_id")))
+    out = placed_copies(rows, *plan(rows.drop("_doc"), 64, 64 * 64))
+    return out.select("_doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
 
 
 def oracle() -> str:
@@ -215,8 +270,10 @@ def oracle() -> str:
     cases = " ".join(f"when {k} then {w}" for k, w in enumerate(WEIGHTS))
     return f"""
     with recursive t as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
-    d as (select rid, doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+    d1 as (select rid, doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::bigint as size,
       md5('{SEED}|' || coalesce(doc_id::varchar, '') || '|' || md5(text)) as key from t),
+    d2 as (select *, row_number() over (partition by key order by rid) - 1 as number from d1),
+    d as (select rid, doc_id, source, size, case when number = 0 then key else md5(key || '|' || number) end as key from d2),
     s0 as (select source, sum(size)::bigint as source_size from d group by source),
     s1 as (select *, row_number() over (order by source nulls last) - 1 as k from s0),
     s2 as (select *, (case k % {len(WEIGHTS)} {cases} end)::double as w, source_size * 2 as cap from s1),

@@ -47,7 +47,7 @@ def corpus():
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, source string, size int, shard string")
+    return spark.createDataFrame([(*r, 1, "s", 2, 3, 4, 5) for r in rows], "doc_id long, text string, source string, size int, key string, position int, copies int, epoch int, h int")
 
 
 def test_mix(spark):
@@ -64,21 +64,45 @@ def test_mix(spark):
     want = brute_targets(dict(sizes))
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(4, 0.01 * want[s]), (s, taken[s], want[s])
-    assert max(v for (d, _), v in copies.items() if d != 702) <= 2
+    assert max(v for (d, _), v in copies.items() if d != 702) <= 2 and copies[702, "x y"] <= 4
     assert {r["shard"] for r in rows} == set(range(shards))
     again = mixing.mix(docs.repartition(5), shards, 16).collect()
     assert sorted(map(str, ((r.doc_id, r.text, r.shard) for r in again))) == sorted(map(str, ((r["doc_id"], r["text"], r["shard"]) for r in rows)))
 
 
-def test_leaf_quotas_are_exact(spark):
+def test_columns_that_clash(spark):
+    docs = frame(spark, corpus()).withColumns({"shard": F.lit("mine"), "_doc": F.lit(1), "a.b": F.lit(2)})
+    mixed = mixing.mix(docs, 4, 16)
+    assert mixed.columns == [c for c in docs.columns if c != "shard"] + ["shard"]
+    assert {(r["size"], r["key"], r["position"], r["copies"], r["epoch"], r["h"], r["_doc"], r["a.b"]) for r in mixed.collect()} == {(1, "s", 2, 3, 4, 5, 1, 2)}
+    plain = mixing.mix(docs, 4, 16, shard_as=None)
+    assert plain.columns == docs.columns and {r["shard"] for r in plain.collect()} == {"mine"}
+
+
+def test_rows_of_one_key_are_drawn_one_by_one(spark):
+    """A source of one row a thousand times, with a target of 1.5 times its size."""
+    docs = spark.createDataFrame([(7, "a b", "x")] * 1000 + [(None, "c d", "y")] * 10, "doc_id long, text string, source string").repartition(5)
+    taken = Counter(r.source for r in mixing.mix(docs, 4, 16).collect())
+    want = brute_targets({"x": 2000, "y": 20})
+    assert all(abs(2 * taken[s] - want[s]) <= 2 for s in want)
+
+
+def test_ranks(spark):
+    names = [f"s{k}" for k in range(500)] + [None, "é", "Z", ""]
+    got = {r.source: r.k for r in mixing.ranked(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)).collect()}
+    assert got == {n: k for k, n in enumerate(sorted((n for n in names if n is not None), key=str.encode))} | {None: len(names) - 1}
+
+
+@pytest.mark.parametrize("chunk", [1024, 1])
+def test_leaf_quotas_are_exact(spark, chunk):
     units = spark.createDataFrame([("a", k) for k in range(101)] + [(None, k) for k in range(13)] + [("b", 0)], "source string, rank int")
-    got = mixing.leaf_ranks(units, 8).collect()
+    got = mixing.leaf_ranks(units, 8, chunk).collect()
     by = defaultdict(list)
     for r in got:
         by[r.leaf_source].append(r.leaf_rank)
     assert {s: sorted(v) for s, v in by.items()} == {"a": list(range(1, 102)), None: list(range(1, 14)), "b": [1]}
     totals = Counter(r.shard for r in got)
-    assert set(totals) == set(range(8)) and max(totals.values()) - min(totals.values()) <= 2
+    assert set(totals) == set(range(8)) and max(totals.values()) - min(totals.values()) <= 1
 
 
 def test_empty(spark):
