@@ -102,7 +102,12 @@ def test_html(spark):
     r = html.chapters(spark.createDataFrame([(1, page), (2, None)], "doc int, html string"), html.HEVEA).collect()
     assert len(r) == 1 and (r[0].number, r[0].title, r[0].code_blocks, r[0].sections[0].title) == ("1", "Way", ["a\n  b"], "First")
     assert "buy" not in r[0].text and "gone" not in r[0].text and r[0].text.startswith("Chapter 1\nWay")
-    assert html.parsed('<h2 id="ch03-x">T</h2>', html.ASCIIDOCTOR)[0]["number"] == "3"
+    other = """<body class='x'><p>before</p><h2 id="ch03-x">T<br>t</h2><div>a &amp; b<br/>c &lt;<script>var x = "<p>";</script></div><!-- <p>no</p> --><h3>3.2 S&nbsp;s</h3>x < y
+      <pre>one &gt; two</pre><h2 id='A-y' data-q=">">Last</h2>end<div id="footer">gone</div><h2>never</h2>"""
+    rows = html.chapters(spark.createDataFrame([(7, other), (7, other), (8, "")], "doc int, html string"), html.ASCIIDOCTOR).orderBy("chapter_no").collect()
+    assert [(r.doc, r.chapter_no, r.number, r.title) for r in rows] == [(7, 0, "3", "Tt")] * 2 + [(7, 1, "A", "Last")] * 2
+    assert rows[0].text == "Tt\n\na & b\n\nc <\n\n3.2 S s\nx < y \none > two" and rows[0].code_blocks == ["one > two"]
+    assert [tuple(x) for x in rows[0].sections] == [("3.2", "S s")] and rows[2].text == "Last\nend"
 
 
 def test_entry_without_training_operators(tmp_path):
