@@ -57,23 +57,24 @@ def let(value: Column, f) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in 3-word windows that occur at least twice; windows are sorted by hash, then by their words."""
+    """How many words lie in 3-word windows that occur at least twice: windows with a hash that another one has are compared by
+    their words."""
 
     def of(w: Column) -> Column:
-        def window(k: Column) -> Column:
-            a, b, c = (F.get(w, k + d) for d in range(3))
-            return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), k.alias("k"))
+        a, b, c = (lambda k, d=d: F.get(w, k + d) for d in range(3))
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda k: F.struct(F.xxhash64(a(k), b(k), c(k)).alias("h"), k.alias("k")))
 
-        def covered(s: Column) -> Column:
-            def same(x: Column, y: Column) -> Column:
-                return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        def neighbours(s: Column, same) -> Column:
+            return F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
 
-            twin = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
+        def covered(s: Column) -> Column:
+            maybe = F.transform(neighbours(s, lambda x, y: x["h"] == y["h"]), lambda x: F.struct(a(x["k"]).alias("a"), b(x["k"]).alias("b"), c(x["k"]).alias("c"), x["k"].alias("k")))
+            twin = let(F.sort_array(maybe), lambda m: neighbours(m, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))
             at = F.array_sort(F.transform(twin, lambda x: x["k"]))
             # Each window covers 3 words, less what the next one covers again.
             return let(at, lambda a: F.when(F.size(a) > 0, F.aggregate(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.least(F.coalesce(y - x, F.lit(3)), F.lit(3))), F.lit(0), lambda n, x: n + x)).otherwise(0))
 
-        return F.when(F.size(w) >= 3, let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)), covered)).otherwise(0)
+        return F.when(F.size(w) >= 3, let(F.sort_array(hashed), covered)).otherwise(0)
 
     return let(words, of).cast("long")
 
