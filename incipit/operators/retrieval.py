@@ -1,7 +1,7 @@
 """Chunks, an inverted index with BM25 ranking, and evidence found in ranked units.
 
-The index is a postings table; a query touches only the postings of its own tokens, by an equi-join. Gold evidence meets
-units through an equi-join on word trigrams, never by pairing every question with every unit. Tokens that very many
+Without an index, documents are read twice, for lengths and for the tokens that are asked for; a kept index is a postings
+table, of which a query touches only its own tokens, by an equi-join. Gold evidence meets units through an equi-join on word trigrams, never by pairing every question with every unit. Tokens that very many
 documents hold are dropped as stopwords; adaptive execution splits what is left of the skew, and sums are partial before
 the shuffle.
 """
@@ -100,24 +100,33 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.groupBy("doc", "tok").agg(F.count("tok").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, doc, score for every document with a query token; index is a materialised postings table."""
-    totals = index.groupBy("doc").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    n, avg = totals.n, totals.avg or 1.0
+def matching(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc, tok, tf, len of the tokens that are asked for: others are dropped where they are read, before any shuffle."""
+    tokens = docs.select("doc", tx.tokenize("text").alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("tok"))
+    return tokens.join(small(cut(asked.select("tok").distinct(), "bm25-words")), "tok").groupBy("doc", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame | None, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
+    """qid, doc, score for every document with a query token, from docs (doc, text) in two narrow passes, or from a kept postings table."""
     asked = queries.select("qid", F.explode(tx.tokenize("query")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
     asked = small(cut(asked, "bm25-queries"))
-    hit = index.join(asked.select("tok").distinct(), "tok", "left_semi")
+    if index is None:
+        lengths, hit = docs.select(F.size(tx.tokenize("text")).alias("len")), matching(docs, asked)
+    else:
+        lengths, hit = index.groupBy("doc").agg(F.first("len").alias("len")), index.join(asked.select("tok").distinct(), "tok", "left_semi")
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    n, avg = totals.n, totals.avg or 1.0
+    hit = cut(hit, "bm25-hits")
     idf = hit.groupBy("tok").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
     idf = small(cut(idf, "bm25-idf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
     return hit.join(idf, "tok").join(asked, "tok").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
-    """qid, rank, doc, score; queries (qid, query), docs (doc, text); ties (to 9 digits) go to the smaller doc."""
-    index = cut(postings(docs), "bm25-postings") if index is None else index
+def bm25_topk(queries: DataFrame, docs: DataFrame | None, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
+    """qid, rank, doc, score; queries (qid, query), docs (doc, text), doc unique; ties (to 9 digits) go to the smaller doc."""
     best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc")
-    return bm25_scores(queries, index, k1, b).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
+    return bm25_scores(queries, docs, k1, b, index).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
 
 
 # ----------------------------------------------------------------- evidence
@@ -151,10 +160,10 @@ def ranked_hits(golds: DataFrame, ranked: DataFrame, units: DataFrame, threshold
     return hits.join(found, ["qid", "doc"], "left").select("qid", "rank", "doc", "text", tx.n_words("text").alias("words"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def recall_at(hits: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """k, recall over the questions in hits (a question without any ranked unit counts if it is in hits with a null rank)."""
-    by = hits.groupBy("qid").agg(*[F.max(((F.col("rank") <= k) & F.col("found")).cast("int")).alias(f"r{k}") for k in cuts])
-    means = by.agg(*[F.avg(F.coalesce(f"r{k}", F.lit(0))).alias(f"r{k}") for k in cuts])
+def recall_at(golds: DataFrame, hits: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """k, recall over all questions of golds (qid); one without any ranked unit counts as not found."""
+    first = hits.where("found").groupBy("qid").agg(F.min("rank").alias("first"))
+    means = golds.select("qid").join(first, "qid", "left").agg(*[F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))).alias(f"r{k}") for k in cuts])
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in cuts])).alias("x")).select("x.k", "x.recall")
 
 

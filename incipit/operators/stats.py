@@ -89,17 +89,16 @@ def prf(predicted: DataFrame, gold: DataFrame, keys: list[str], by: list[str] |
 
 
 def token_f1(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with f1 of the stemmed tokens of two text columns, as multisets; 0 where one is empty or none is shared."""
+    """pairs with f1 of the stemmed tokens of two text columns, as multisets; 0 where one is empty or none is shared.
 
-    def counts(t: Column) -> Column:
-        return tx.let(F.array_sort(tx.tokenize(t)), lambda s: s)
+    The n-th occurrence of a token becomes a value of its own, so that one hashed intersection counts what both have.
+    """
 
-    def common(x: Column, y: Column) -> Column:
-        distinct = F.array_distinct(x)
-        n = lambda arr, t: F.size(F.filter(arr, lambda v: v == t))
-        return F.aggregate(distinct, F.lit(0), lambda acc, t: acc + F.least(n(x, t), n(y, t)))
+    def occurrences(tokens: Column) -> Column:
+        runs = F.regexp_extract_all(F.array_join(F.array_sort(tokens), " "), F.lit(r"(\S++)(?: \1(?!\S))*+"), F.lit(0))
+        return F.flatten(F.transform(runs, lambda run: F.transform(F.split(run, " "), lambda t, n: F.concat(t, F.lit(":"), n))))
 
-    both = pairs.withColumn("_a", counts(F.col(a))).withColumn("_b", counts(F.col(b))).withColumn("_c", common(F.col("_a"), F.col("_b")))
+    both = pairs.withColumns({"_a": occurrences(tx.tokenize(a)), "_b": occurrences(tx.tokenize(b))}).withColumn("_c", F.size(F.array_intersect("_a", "_b")))
     p, r = F.col("_c") / F.size("_a"), F.col("_c") / F.size("_b")
     return both.withColumn("f1", F.when(F.col("_c") > 0, 2 * p * r / (p + r)).otherwise(0.0)).drop("_a", "_b", "_c")
 

@@ -114,8 +114,8 @@ def _hits(spark, sf):
 
 
 def recall_at_k(spark, sf):
-    _, hits = _hits(spark, sf)
-    return retrieval.recall_at(hits).select("k", F.round("recall", 6).alias("recall"))
+    golds, hits = _hits(spark, sf)
+    return retrieval.recall_at(golds, hits).select("k", F.round("recall", 6).alias("recall"))
 
 
 def recall_at_words(spark, sf):
@@ -293,7 +293,8 @@ ORACLES = {
     "evidence_thresholds": f"""with {GOLD}, ug as ({sql_grams('documents', 'doc_id', 'text')}), c as (select qid, sent, n, doc_id, count(*)::double as k from gold join ug using (gram) group by all),
       best as (select item_id, coalesce(max(k / n), 0) as best from benchmark left join c on qid = item_id group by 1)
       select count(*) as n, {', '.join(f"sum(case when best >= {t} then 1 else 0 end)::bigint as at_{int(t * 100)}" for t in retrieval.THRESHOLDS)} from best""",
-    "recall_at_k": f"with {HITS} select k, round(avg(r), 6) as recall from (select qid, k::int as k, max(case when rank <= k and found then 1 else 0 end) as r from hits, (select unnest([1, 3, 5, 10]) as k) group by 1, 2) group by 1",
+    "recall_at_k": f"""with {HITS}, f as (select qid, min(rank) as first from hits where found group by 1)
+      select k::int as k, round(avg(case when first <= k then 1 else 0 end), 6) as recall from (select item_id, unnest([1, 3, 5, 10]) as k from benchmark) left join f on qid = item_id group by 1""",
     "recall_at_words": f"""with {HITS}, cum as (select *, sum(len(w)) over (partition by qid order by rank) as upto, unnest([250, 500, 1000, 2000]) as budget from hits),
       whole as (select distinct qid, budget from cum where found and upto <= budget),
       crossing as (select qid, budget, array_to_string(w[1:(budget - (upto - len(w)))::bigint], ' ') as head from cum where upto - len(w) < budget and upto > budget),

@@ -50,7 +50,25 @@ def test_evidence(spark):
     hits = cut(retrieval.ranked_hits(golds, ranked, units))
     assert [r.found for r in hits.orderBy("rank").collect()] == [False, True]
     assert {r.budget: r.found for r in retrieval.budget_hits(golds, hits, (100, 103, 115)).collect()} == {100: False, 103: False, 115: True}
-    assert {r.k: r.recall for r in retrieval.recall_at(hits, (1, 3)).collect()} == {1: 0.0, 3: 1.0}
+    assert {r.k: r.recall for r in retrieval.recall_at(golds, hits, (1, 3)).collect()} == {1: 0.0, 3: 1.0}
+    asked = golds.unionByName(spark.createDataFrame([("nothing ranked", ["x"])], golds.schema))
+    assert {r.k: r.recall for r in retrieval.recall_at(asked, hits, (1, 3)).collect()} == {1: 0.0, 3: 0.5}
+
+
+def test_token_f1(spark):
+    """Against multisets of the same tokens; a text of 30,000 words takes no quadratic time."""
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    words = ["alpha", "alphas", "beta", "be", "gamma", "1", "11", "b", "bb"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(text(r.randrange(30)), text(r.randrange(30))) for _ in range(40)] + [("", "alpha"), ("", ""), (text(30_000), text(20_000))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for x in stats.token_f1(df.withColumns({"ta": tx.tokenize("a"), "tb": tx.tokenize("b")}), "a", "b").collect():
+        n = sum((Counter(x.ta) & Counter(x.tb)).values())
+        want = 2 * n / (len(x.ta) + len(x.tb)) if n else 0.0
+        assert abs(x.f1 - want) < 1e-12
 
 
 def test_bm25(spark):
