@@ -102,8 +102,8 @@ def calls(chapters: int, questions: int, variants: int = 2, judges: int = 2) ->
 
 
 def term_mentioned(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """qid, mentioned: does the chapter's file hold the term as a word?"""
-    quoted = F.concat(F.lit(r"\b\Q"), F.replace(F.lower("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+    """qid, mentioned: does the chapter's file hold the term at the start of a word?"""
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(F.lower("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
     return items.join(refs.select("chapter", "markdown"), "chapter", "left").select("qid", F.coalesce(F.regexp_like(F.lower("markdown"), quoted), F.lit(False)).alias("mentioned"))
 
 

@@ -65,7 +65,7 @@ def vocabulary_df(docs: DataFrame) -> DataFrame:
 def defects(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, ligature_glyphs, broken_hyphenations, glued_words; texts (id, text), vocab (word), by semi-joins on the vocabulary."""
     norm = texts.select("id", tx.plain("text").alias("t"))
-    hyphen = r"\b([A-Za-z]{2,})-\s+([a-z]{2,})\b"
+    hyphen = r"(?U)\b([A-Za-z]{2,})-\s+([a-z]{2,})\b"
     joined = norm.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("t", F.lit(hyphen), F.lit(1)).alias("a"), F.regexp_extract_all("t", F.lit(hyphen), F.lit(2)).alias("b"))).alias("m"))
     broken = joined.select("id", F.lower(F.concat("m.a", "m.b")).alias("word")).join(vocab, "word", "left_semi").groupBy("id").agg(F.count("*").alias("broken_hyphenations"))
     long = norm.select("id", F.explode(tx.matches(F.lower("t"), "[a-z]+")).alias("word")).where(F.length("word") >= 7).groupBy("id", "word").agg(F.count("*").alias("times"))

@@ -1,5 +1,8 @@
 """Registered queries of the library and their oracle SQL."""
 
-from incipit.plans.queries import ORACLES, QUERIES
+from incipit.plans import queries, text_queries
+
+QUERIES = queries.QUERIES | text_queries.QUERIES
+ORACLES = queries.ORACLES | text_queries.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
