@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.functions import text as tx
+from incipit.operators import stats
+from incipit.scale import cut
 
 
 def random_control(sentences: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
@@ -29,6 +31,17 @@ def control_comparison(kept: DataFrame) -> DataFrame:
     return own.join(seeds, "variant").withColumn("diff", F.col("kept") - F.col("control"))
 
 
+def summary(kept: DataFrame) -> DataFrame:
+    """control_comparison() with n, the interval of the rate kept, and that of kept minus control by question and by chapter."""
+    own = kept.where("seed is null").select("variant", "qid", "chapter", F.col("kept").cast("double").alias("value"))
+    chance = kept.where("seed is not null").groupBy("variant", "qid").agg(F.avg(F.col("kept").cast("int")).alias("chance"))
+    diff = cut(own.join(chance, ["variant", "qid"]).select("variant", "qid", "chapter", "value", (F.col("value") - F.col("chance")).alias("diff")), "controls")
+    ends = lambda name, rows, cluster=None: stats.bootstrap_counts(rows, "variant", cluster).select("variant", F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+    moved = diff.select("variant", "chapter", F.col("diff").alias("value"))
+    out = control_comparison(kept).join(diff.groupBy("variant").agg(F.count("*").alias("n")), "variant")
+    return out.join(ends("kept", diff), "variant").join(ends("diff", moved), "variant").join(ends("diff_by_chapter", moved, "chapter"), "variant")
+
+
 def forward_anchors(blocks: DataFrame, pattern: str, least_words: int = 5) -> DataFrame:
     """chapter, block_no, entry, paragraph: each marked entry with its own block's prose, or that of the next block with prose.
 
