@@ -30,9 +30,12 @@ def sql_tokens(source: str, key: str, text: str) -> str:
     return f"select {key}, {STEM} as tok from (select {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) as t from {source}) where t not in ({STOP})"
 
 
+def sql_parts(text: str) -> str:
+    return f"string_split(regexp_replace({text}, '([.?!])\\s+([A-Z(\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
 def sql_sentences(text: str) -> str:
-    marked = f"regexp_replace({text}, '([.?!])\\s+([A-Z(\"''])', '\\1' || chr(1) || '\\2', 'g')"
-    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter(list_transform({sql_parts(text)}, lambda x: trim(x)), lambda x: x <> '')"
 
 
 PLAIN = "translate({}, '‘’“”–—−' || chr(160) || '•', '''''\"\"---  ')"
@@ -302,6 +305,12 @@ ORACLES = {
       part as (select distinct qid, budget from (select c.qid, c.budget, g.sent, any_value(g.n) as n, count(*) as k from cg c join gold g on g.qid = c.qid and g.gram = c.gram group by 1, 2, 3) where k >= 0.6 * n),
       f as (select * from whole union select * from part)
       select b.budget::int as budget, round(avg(case when f.qid is not null then 1 else 0 end), 6) as recall from (select item_id, unnest([250, 500, 1000, 2000]) as budget from benchmark) b left join f on f.qid = b.item_id and f.budget = b.budget group by 1""",
+    "chunk_pack": f"""with recursive l as (select doc_id, string_split(text, chr(10)) as l from documents), x as (select doc_id, i, l[i] as t, {NW.format('l[i]')} as n from (select *, unnest(range(1, len(l) + 1)) as i from l)),
+      y as (select doc_id, i, n, case when n <= 200 then [t] else {sql_parts('t')} end as s from x), p as (select doc_id, i, j, s[j] as t, {NW.format('s[j]')} as n from (select *, unnest(range(1, len(s) + 1)) as j from y)),
+      r as (select doc_id, i, j, n as run, 0 as g from p where j = 1 union all select p.doc_id, p.i, p.j, case when run + p.n > 200 then p.n else run + p.n end, g + (run + p.n > 200)::int from r join p on p.doc_id = r.doc_id and p.i = r.i and p.j = r.j + 1),
+      c as (select doc_id, i, g, string_agg(t, ' ' order by j) as t, sum(n) as n from p join r using (doc_id, i, j) group by all), o as (select doc_id, t, n, row_number() over (partition by doc_id order by i, g) as k from c),
+      q as (select doc_id, k, n as run, 0 as g from o where k = 1 union all select o.doc_id, o.k, case when run + o.n > 200 then o.n else run + o.n end, g + (run + o.n > 200)::int from q join o on o.doc_id = q.doc_id and o.k = q.k + 1)
+      select doc_id, g::int as chunk, sum(n)::int as words, md5(string_agg(t, chr(10) || chr(10) order by k)) as digest from o join q using (doc_id, k) group by 1, 2""",
     "tfidf_terms": f"with {TERMS}, n as (select count(distinct grp) as n from d) select grp, term, tf, round(tf * ln(n / df), 6) as score from tf join df using (term), n where tf >= 3",
     "vocab_df": f"select word, count(*) as df from (select distinct doc_id, lower(w) as word from (select doc_id, unnest(regexp_extract_all({PLAIN.format('text')}, '[A-Za-z]+')) as w from documents)) group by 1",
     "token_f1": f"""with p as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as reply from conversations),
