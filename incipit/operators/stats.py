@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,17 @@ def tfidf(paragraphs: DataFrame, least_tf: int = 3) -> DataFrame:
 def topics(scored: DataFrame, n: int = 8, candidates: int = 2000) -> DataFrame:
     """grp, topics: best terms without overlap of stems; a phrase takes the place of one picked word it holds.
 
-    Greedy and sequential, so Python by group, over each group's best `candidates` terms in score order.
+    Greedy and sequential, so Python by group, in rounds of `candidates` terms in score order: a group that has not picked n
+    when its round ends goes on with its next terms, until it has n or no term is left.
     """
+    kind = dict(scored.dtypes)["grp"]
     order = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("term"))
-    stems = F.transform(F.split("term", " "), tx.stem)
-    rows = scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= candidates).select("grp", "k", "term", stems.alias("stems"))
+    ranked = scored.withColumn("k", F.row_number().over(order)).withColumn("stems", F.transform(F.split("term", " "), tx.stem))
+    picked = f"grp {kind}, topics array<string>, stems array<array<string>>, next int"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple[str, set]] = []
+        before = pdf[["had", "had_stems"]].iloc[0]
+        chosen = [] if before["had"] is None else [(t, set(s)) for t, s in zip(before["had"], before["had_stems"], strict=True)]
         for r in pdf.sort_values("k").itertuples():
             own = set(r.stems)
             touching = [j for j, (_, other) in enumerate(chosen) if own & other]
@@ -52,9 +56,19 @@ def topics(scored: DataFrame, n: int = 8, candidates: int = 2000) -> DataFrame:
                     break
             elif len(touching) == 1 and len(r.term.split()) == 2 and " " not in chosen[touching[0]][0]:
                 chosen[touching[0]] = (r.term, own)
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "topics": [[t for t, _ in chosen]]})
-
-    return rows.groupBy("grp").applyInPandas(pick, f"grp {dict(scored.dtypes)['grp']}, topics array<string>")
+        more = len(chosen) < n and len(pdf) == candidates
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "topics": [[t for t, _ in chosen]], "stems": [[sorted(s) for _, s in chosen]], "next": [int(pdf["k"].max()) if more else -1]})
+
+    done, first = [], ranked.where(F.col("k") <= candidates).withColumns({"had": F.lit(None).cast("array<string>"), "had_stems": F.lit(None).cast("array<array<string>>")})
+    while True:
+        now = cut(first.select("grp", "k", "term", "stems", "had", "had_stems").groupBy("grp").applyInPandas(pick, picked), "topics")
+        done.append(now.where("next < 0").select("grp", "topics"))
+        left = now.where("next >= 0").select(F.col("grp").alias("_grp"), F.col("topics").alias("had"), F.col("stems").alias("had_stems"), "next")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        first = ranked.join(left, F.col("grp").eqNullSafe(F.col("_grp"))).where(F.col("k").between(F.col("next") + 1, F.col("next") + candidates))
+        # A group whose terms end with a full round has no next one: what it has is all.
+        done.append(left.join(first.select("grp").distinct(), F.col("_grp").eqNullSafe(F.col("grp")), "left_anti").select(F.col("_grp").alias("grp"), F.col("had").alias("topics")))
 
 
 def vocabulary_df(docs: DataFrame) -> DataFrame:

@@ -312,6 +312,13 @@ ORACLES = {
       q as (select doc_id, k, n as run, 0 as g from o where k = 1 union all select o.doc_id, o.k, case when run + o.n > 200 then o.n else run + o.n end, g + (run + o.n > 200)::int from q join o on o.doc_id = q.doc_id and o.k = q.k + 1)
       select doc_id, g::int as chunk, sum(n)::int as words, md5(string_agg(t, chr(10) || chr(10) order by k)) as digest from o join q using (doc_id, k) group by 1, 2""",
     "tfidf_terms": f"with {TERMS}, n as (select count(distinct grp) as n from d) select grp, term, tf, round(tf * ln(n / df), 6) as score from tf join df using (term), n where tf >= 3",
+    "distinctive_topics": f"""with recursive {TERMS}, n as (select count(distinct grp) as n from d), sc as (select grp, term, tf * ln(n / df) as score from tf join df using (term), n where tf >= 3),
+      k as (select grp, term, list_transform(string_split(term, ' '), lambda t: {STEM}) as s, row_number() over (partition by grp order by score desc, term desc) as k from sc),
+      r as (select grp, k, [{{'t': term, 's': s}}] as c from k where k = 1 union all
+        select k.grp, k.k, case when len(list_filter(c, lambda x: list_has_any(x.s, k.s))) = 0 then list_append(c, {{'t': term, 's': k.s}})
+          when contains(term, ' ') and len(list_filter(c, lambda x: list_has_any(x.s, k.s))) = 1 and not contains(list_filter(c, lambda x: list_has_any(x.s, k.s))[1].t, ' ') then list_transform(c, lambda x: case when list_has_any(x.s, k.s) then {{'t': term, 's': k.s}} else x end) else c end
+        from r join k on k.grp = r.grp and k.k = r.k + 1 where len(c) < 8)
+      select grp, array_to_string(list_transform(arg_max(c, k), lambda x: x.t), ', ') as topics from r group by 1""",
     "vocab_df": f"select word, count(*) as df from (select distinct doc_id, lower(w) as word from (select doc_id, unnest(regexp_extract_all({PLAIN.format('text')}, '[A-Za-z]+')) as w from documents)) group by 1",
     "token_f1": f"""with p as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as reply from conversations),
       q as (select *, conv_id || '-' || turn as k from p where reply is not null),

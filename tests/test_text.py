@@ -196,3 +196,11 @@ def test_bootstrap_counts(spark):
         assert got["one"].low == got["one"].high == 1.0
     again = stats.bootstrap_counts(df.repartition(7), "grp", "c").collect()
     assert {r.grp: r for r in again} == got
+
+
+def test_topics_in_rounds(spark):
+    rows = [("a", t, s) for t, s in (("alpha", 9.0), ("alpha beta", 8.0), ("beta", 7.0), ("gamma", 6.0), ("gammas", 5.0), ("delta", 4.0))] + [("b", "alpha", 1.0)]
+    scored = spark.createDataFrame(rows, "grp string, term string, score double")
+    want = {"a": ["alpha beta", "gamma", "delta"], "b": ["alpha"]}
+    for candidates in (1, 2, 3, 2000):
+        assert {r.grp: r.topics for r in stats.topics(scored, 3, candidates).collect()} == want
