@@ -78,14 +78,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         tokens.select("url", "key", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token"))
         .join(small(cut(index, "url-index")), "token")
         .where(F.expr("rlike(key, regex)"))
-        .groupBy("url")
+        .groupBy(F.col("url").alias("_url"))
         .agg(
             F.max(F.when(F.col("kind") == "base", F.struct(F.length("rule").alias("n"), "rule", "action"))).alias("base"),
             F.min(F.when(F.col("kind") == "pattern", F.struct("rule", "action"))).alias("other"),
         )
     )
-    # Rows without a fit take no part in the join: a hot url, null or not, is only its own rows.
-    out = pages.join(fits, "url", "left")
+    # A null url meets its fits too. There is a row a distinct url that fits, so a hot url is only its own rows.
+    out = pages.join(fits, pages["url"].eqNullSafe(fits["_url"]), "left")
     return out.select(
         "page_id", host.alias("host"), path.alias("path"), F.col("base.rule").alias("rule"), F.col("other.rule").alias("pattern"), F.coalesce("base.action", "other.action", F.lit(default)).alias("verdict")
     )
