@@ -34,6 +34,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def unmet(j: dict) -> list[str]:
+    """Settings of a file of the tokenizers library that would change its ids and that ByteBPE does not follow."""
+    before, model = j.get("pre_tokenizer") or {}, j["model"]
+    odd = ["normalizer"] * bool(j.get("normalizer")) + ["post_processor"] * bool((j.get("post_processor") or {"type": "ByteLevel"})["type"] != "ByteLevel")
+    odd += ["pre_tokenizer"] * (before.get("type") != "ByteLevel" or not before.get("use_regex", True)) + ["add_prefix_space"] * bool(before.get("add_prefix_space"))
+    odd += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)] + ["model type"] * (model.get("type") != "BPE")
+    return odd + sorted({k for t in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)})
+
+
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
@@ -41,6 +50,8 @@ class ByteBPE:
         import regex
 
         j = json.loads(spec)
+        if odd := unmet(j):
+            raise ValueError(f"the file sets what this encoder does not do: {', '.join(odd)}")
         letters = byte_letters()
         vocab = j["model"]["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}

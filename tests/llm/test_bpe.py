@@ -44,3 +44,12 @@ def test_frame(spark, both):
         want.append((a, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((b or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert encode_documents(docs.limit(0), default_vocabulary()).count() == 0
+
+
+def test_refuses_what_it_does_not_follow():
+    import json
+
+    j = json.loads(open(default_vocabulary(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": j["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": j["model"] | {"ignore_merges": True}}, {"added_tokens": [j["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            ByteBPE(json.dumps(j | change))

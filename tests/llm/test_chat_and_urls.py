@@ -77,3 +77,10 @@ def test_rule_without_literal_token(spark):
     pages = spark.createDataFrame([(1, "http://bab/"), (2, "http://x-y/"), (3, "http://q/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in uf.filter_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
     assert uf.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_null_url_meets_open_patterns(spark):
+    pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, None)], "page_id long, url string")
+    for patterns, verdict in ((["*"], "block"), (["*/ads/*"], "allow")):
+        got = uf.filter_urls(pages, uf.rules_frame(spark, base=[], patterns=patterns)).collect()
+        assert sorted((r.page_id, r.host, r.path, r.verdict) for r in got) == [(k, "", "", verdict) for k in (1, 2, 3)]
