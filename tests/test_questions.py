@@ -83,3 +83,12 @@ def test_stream(spark, tmp_path):
     ask = spark.createDataFrame([("q", "beta")], "qid string, query string")
     assert [r.doc for r in retrieval.bm25_topk(ask, None, 3, index=index.drop("batch")).collect()] == [1]
     assert index.where(F.col("tok") == "alpha").count() == 2
+
+
+def test_extraction_scores(spark):
+    systems = spark.createDataFrame([("good", "1", "one two three four"), ("good", "2", "five six"), ("bad", "1", "one two"), ("bad", "2", "some- thing else ﬁ")], "system string, chapter string, text string")
+    refs = spark.createDataFrame([("1", "one two three four"), ("2", "five six"), ("3", "never extracted")], "chapter string, text string")
+    got = {r.system: r for r in evaluation.extraction_scores(systems, refs, spark.createDataFrame([("something",)], "word string")).collect()}
+    assert (got["good"].chapters, got["good"].f1, got["good"].broken_hyphenations) == (2, 1.0, 0)
+    # Of the six tokens of the references two are found, among seven of its own (a hyphen is one).
+    assert (round(got["bad"].precision, 6), round(got["bad"].recall, 6), got["bad"].broken_hyphenations, got["bad"].ligature_glyphs) == (round(2 / 7, 6), round(2 / 6, 6), 1, 1)
