@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from incipit.llm import ann, bpe, chat_format, licenses, mixing, quality, secrets, simhash, url_filters, warc
+from incipit.llm import ann, bpe, chat_format, licenses, mixing, prefix_trie, quality, secrets, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_chat_format": chat_format.oracle(),
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_warc": warc.oracle(),
     "op8_mixing": mixing.oracle(),
     "op10_url_filters": url_filters.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
 }
