@@ -56,10 +56,12 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if a count (that stops beyond the bound) proves it small, else unmarked: the join then shuffles.
+    """df marked for broadcast if its rows, and then the sum of their bytes as JSON, prove it small, else unmarked: the join then shuffles.
 
-    Call it on a frame that is cheap to read, e.g. one from cut().
+    Call it on a frame that is cheap to read, e.g. one from cut(): its rows are counted from the files' footers, its bytes
+    summed by partition.
     """
-    some = df.select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("b")).limit(rows + 1)
-    n, b = some.agg(F.count("*"), F.sum("b")).first()
-    return F.broadcast(df) if n <= rows and (b or 0) <= size else df
+    if df.count() > rows:
+        return df
+    total = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (total or 0) <= size else df
