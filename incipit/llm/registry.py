@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from incipit.llm import ann, bpe, chat_format, hard_negatives, licenses, mixing, prefix_trie, quality, secrets, simhash, url_filters, warc
+from incipit.llm import ann, bpe, chat_format, hard_negatives, jaccard_join, licenses, mixing, prefix_trie, quality, secrets, simhash, url_filters, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
