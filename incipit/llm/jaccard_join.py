@@ -1,13 +1,13 @@
 """N-gram Jaccard join by parity sketches: sets of word shingles are hashed to bit sketches, joined by pigeonhole, verified.
 
 A sketch has parts of 64 bits. Each shingle flips one bit, so the Hamming distance of two sketches is at most the symmetric
-difference of their sets. Sizes fall in bands whose bounds grow by 1 / threshold: linked sets lie in one band or in
-neighbouring ones, so a set is filed in its own band's space and the next one's. Where sets of a space link, their symmetric
-difference is at most D (from the threshold and the band's upper size), and with D + 1 + Z parts at least Z + 1 parts agree
-in all bits. Parts without any bit say little and would meet in large groups: a set with at most Z of them leaves them out,
-since some other part must then agree; only sets with more of them file them too.
+difference of their sets. Sizes fall in bands whose bounds grow by a half: linked sets lie in one band or in neighbouring
+ones, so a set is filed in its own band's space, and in the next one's if it is large enough to link with sets there. Where
+sets of a space link, their symmetric difference is at most D (from the threshold and the band's upper size), and with
+D + 1 + Z parts at least Z + 1 parts agree in all bits. Parts without any bit say little and would meet in large groups: a
+set with at most Z of them leaves them out, since some other part must then agree; only sets with more of them file them too.
 
-Work is on distinct sets (copies are one class). In each key all classes are first compared with the smallest one; what that
+Work is on distinct sequences of words (copies are one class). In each key all classes are first compared with the smallest one; what that
 links is one component and needs no more pairs, so a family of near copies costs about a pair for each member. Where classes
 of different components are left in a key, those of up to `pair_limit` classes are paired between components. Crowded ones (a
 passage that many texts share) are compared by their rarest shingles instead: two linked sets share one of the first
@@ -65,24 +65,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int, known: dict[bytes, int] | None = None) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles. known: hashes of words met before, filled on."""
-    import xxhash
+#: Odd multipliers, one for each place in a shingle (fractions of the square roots of 2, 3, 5 and 7; more are made from them).
+PLACES = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
 
+
+class Words(dict):
+    """Hashes of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+    def bounded(self) -> Words:
+        if len(self) > 500_000:
+            self.clear()
+        return self
+
+
+def shingle_set(text: str | None, words: int, known: Words | None = None) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles."""
+    known = Words() if known is None else known.bounded()
     found = (text or "").encode("utf-8").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED + 1)], np.uint64)
-    known = {} if known is None else known
-    for w in set(found) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w, SEED)
     each = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    n = len(found) - words + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(words):  # a chain, so the order of the words counts
-        h = mixed(h ^ each[k : k + n]) + np.uint64(k + 1)
-    return np.unique(h)
+    n = max(1, len(found) - words + 1)
+    h = np.full(n, min(len(found), words), np.uint64)
+    for k in range(min(words, len(found))):  # the place of a word counts
+        h += each[k : k + n] * np.uint64(PLACES[k % 4] + 2 * (k // 4))
+    return np.unique(mixed(h))
 
 
 class Bands:
@@ -93,17 +106,20 @@ class Bands:
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * self.rule.den // self.rule.num + 1)
+            # Half as large again, and never so little that sets two bands apart could link.
+            self.starts.append(max(self.starts[-1] * 3 // 2, self.starts[-1] * self.rule.den // self.rule.num) + 1)
         return bisect_right(self.starts, n) - 1
 
+    def spaces(self, n: int) -> list[int]:
+        own = self.of(n)
+        self.of(self.starts[own + 1])
+        return [own, own + 1] if self.rule.den * n >= self.rule.num * self.starts[own + 1] else [own]
+
     def parts(self, space: int) -> tuple[int, int]:
-        """Parts and Z; no parts where linked sets of the space are equal."""
-        self.of(self.starts[-1] + 1) if len(self.starts) <= space + 1 else None
+        """Parts and Z."""
         most = 2 * (self.starts[space + 1] - 1)
         differ = (self.rule.den - self.rule.num) * most // (self.rule.den + self.rule.num)
-        if not differ:
-            return 0, 0
-        spare = 1 + int(0.012 * differ + 3 * (0.012 * differ) ** 0.5)
+        spare = int(0.03 * differ + 2 * (0.03 * differ) ** 0.5)
         return differ + 1 + spare, spare
 
 
@@ -115,60 +131,70 @@ def sketch(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """A 64-bit key for each filed part, in the set's own space and the next."""
+    """A 64-bit key for each filed part, in the spaces of the set."""
     out = []
-    if len(h):
-        own = bands.of(len(h))
-        for space in (own, own + 1):
-            parts, spare = bands.parts(space)
-            if parts:
-                bits = sketch(h, parts)
-                at = np.arange(parts) if (bits == 0).sum() > spare else np.flatnonzero(bits)
-                out.append(mixed(bits[at] ^ mixed(np.uint64(space << 32) + at.astype(np.uint64))))
+    for space in bands.spaces(len(h)) if len(h) else ():
+        parts, spare = bands.parts(space)
+        bits = sketch(h, parts)
+        at = np.arange(parts) if (bits == 0).sum() > spare else np.flatnonzero(bits)
+        out.append(mixed(bits[at] ^ mixed(np.uint64(space << 32) + at.astype(np.uint64))))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def digest(h: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+def digest(text: str | None) -> bytes | None:
+    """Of the sequence of words, null for none."""
+    found = (text or "").encode("utf-8").lower().split()
+    return hashlib.blake2b(b" ".join(found), digest_size=16).digest() if found else None
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, digest."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "digest"])
 
-def _bounded(known: dict) -> dict:
-    """Word hashes are kept from text to text, up to a bound of memory."""
-    if len(known) > 500_000:
-        known.clear()
-    return known
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary")
 
 
-def filed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, digest (null for the empty set), n, keys."""
+def texts_of(docs: DataFrame, classes: DataFrame, known_rows: int = 300_000) -> DataFrame:
+    """c, text: a row for each of the classes (c, digest, least, rows)."""
+    asked = small(cut(classes.select(F.col("least").alias("_least"), "c", "digest", "rows"), "jaccard-asked"), known_rows)
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, known = Bands(rule), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), rule.words, _bounded(known)) for t in part.column(1)]
-                found = [keys(h, bands) for h in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), lists], ["doc_id", "digest", "n", "keys"])
+        for batch in batches:  # rows that share a doc_id may differ in their words
+            keep = [k for k in range(batch.num_rows) if digest(batch.column(3)[k].as_py()) == batch.column(1)[k].as_py()]
+            yield batch.take(pa.array(keep, pa.int64())).select(["c", "rows", "text"])
+
+    def own(some: str) -> DataFrame:
+        return texts.where(some).select("c", "digest", "rows", "text").mapInArrow(run, "c long, rows long, text string")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, n long, keys array<long>")
+    if asked.where("rows > 1").isEmpty():
+        return own("rows = 1").select("c", "text")
+    # Several rows of a class's doc_id may have its words: one of them is taken.
+    return own("rows = 1").select("c", "text").unionByName(own("rows > 1").groupBy("c").agg(F.min("text").alias("text")))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, known_rows: int = 300_000) -> DataFrame:
-    """c, h (the sorted hashes, packed): the sets of the given classes (c, least, digest), from the texts."""
-    asked = small(cut(classes.select(F.col("least").alias("_least"), "c", "digest"), "jaccard-asked"), known_rows)
-    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_least"))).select("c", "digest", "text")
+def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, filed: bool = False) -> DataFrame:
+    """c, h (the sorted hashes, packed) of the classes, from the texts; or, to be filed, c, n and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known, bands = Words(), Bands(rule)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), rule.words, _bounded(known)) for t in batch.column(2)]
-            keep = [k for k, h in enumerate(sets) if digest(h) == batch.column(1)[k].as_py()]  # rows that share a doc_id may differ
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["c", "h"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t.as_py(), rule.words, known) for t in part.column(1)]
+                c = part.column(0)
+                if filed:
+                    found = [keys(h, bands) for h in sets]
+                    offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+                    yield pa.RecordBatch.from_arrays([c, pa.array([len(h) for h in sets], pa.int64()), lists], ["c", "n", "keys"])
+                else:
+                    yield pa.RecordBatch.from_arrays([c, pa.array([h.tobytes() for h in sets], pa.binary())], ["c", "h"])
 
-    return texts.mapInArrow(run, "c long, h binary").dropDuplicates(["c"])
+    return texts_of(docs, classes).mapInArrow(run, "c long, n long, keys array<long>" if filed else "c long, h binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -228,9 +254,9 @@ def by_rare_shingles(docs: DataFrame, classes: DataFrame, crowded: DataFrame, ru
     return shared.select("key", "c", (place <= most).alias("first")).where("first").select("key", "c")
 
 
-def linked_components(docs: DataFrame, classes: DataFrame, filed_keys: DataFrame, rule: Rule, pair_limit: int) -> DataFrame:
-    """node, root for the linked classes; classes has c, least, digest, filed_keys has c, keys."""
-    each = filed_keys.select("c", F.explode("keys").alias("key"))
+def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rule: Rule, pair_limit: int) -> DataFrame:
+    """node, root for the linked classes; classes as texts_of() takes them, filed has c, keys."""
+    each = filed.select("c", F.explode("keys").alias("key"))
     groups = cut(each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "jaccard-keys")
     edges = verified(stars(several(groups)), docs, classes, rule)
     roots = cut(components(edges), "jaccard-roots")
@@ -250,16 +276,19 @@ def linked_components(docs: DataFrame, classes: DataFrame, filed_keys: DataFrame
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), pair_limit: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    rows = cut(filed(docs, rule).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
-    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("m")  # of the smallest doc_id, null last
-    classes = cut(rows.where("n > 0").groupBy("digest").agg(first).select("digest", F.col("m.doc_id").alias("least"), F.col("m.row").alias("c")), "jaccard-classes")
-    filed_keys = rows.select(F.col("row").alias("c"), "keys").join(classes.select("c"), "c")
-    roots = linked_components(docs, classes, filed_keys, rule, pair_limit).withColumnRenamed("node", "c")
-    named = cut(classes.join(roots, "c", "left").select("digest", "least", F.coalesce("root", "c").alias("root")), "jaccard-named")
+    prints = cut(digests(docs), "jaccard-digests")
+    counted = prints.where("digest IS NOT NULL").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "rows")).alias("m")  # the smallest doc_id, null last
+    classes = counted.groupBy("digest").agg(first).select(F.monotonically_increasing_id().alias("c"), "digest", F.col("m.doc_id").alias("least"), F.col("m.rows").alias("rows"))
+    classes = cut(classes, "jaccard-classes")
+    filed = cut(sets_of(docs, classes, rule, filed=True), "jaccard-filed")
+    roots = linked_components(docs, classes, filed, rule, pair_limit).withColumnRenamed("node", "c")
+    named = classes.join(filed.select("c", "n"), "c").join(roots, "c", "left").select("digest", "least", "n", F.coalesce("root", "c").alias("root"))
+    named = cut(named, "jaccard-named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = named.join(least, "root").select("digest", "component_id")
-    found = rows.where("n > 0").select("doc_id", "n", "digest").join(by_set, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    by_words = named.join(least, "root").select("digest", F.col("n").alias("n_shingles"), "component_id")
+    found = prints.where("digest IS NOT NULL").join(by_words, "digest").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(prints.where("digest IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op11_jaccard_join(spark, sf_dir: str) -> DataFrame:
