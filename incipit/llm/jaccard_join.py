@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches: sets of word shingles are hashed to bit sketches, joined by pigeonhole, verified.
 
-A sketch has parts of 64 bits. Each shingle flips one bit, so the Hamming distance of two sketches is at most the symmetric
+A sketch is a sparse string of bits in parts. Each shingle flips one bit, so the Hamming distance of two sketches is at most the symmetric
 difference of their sets. Sizes fall in bands whose bounds grow by a half: linked sets lie in one band or in neighbouring
 ones, so a set is filed in its own band's space, and in the next one's if it is large enough to link with sets there. Where
 sets of a space link, their symmetric difference is at most D (from the threshold and the band's upper size), and with
@@ -40,6 +40,8 @@ from incipit.llm.components import components
 from incipit.scale import cut, small
 
 SEED = 11
+#: A part of a sketch has two to the power of this many bits; few are set, and only those are worked on.
+PART_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -123,21 +125,31 @@ class Bands:
         return differ + 1 + spare, spare
 
 
+def bits(h: np.ndarray, parts: int) -> np.ndarray:
+    """The bit of the sketch that each hash flips; the upper figures are the part's number."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) << np.uint64(PART_BITS) | h & np.uint64((1 << PART_BITS) - 1)
+
+
 def sketch(h: np.ndarray, parts: int) -> np.ndarray:
-    """The parity sketch: each hash flips one of 64 bits of one part."""
-    out = np.zeros(parts, np.uint64)
-    np.bitwise_xor.at(out, (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out
+    """The parity sketch as the sorted numbers of its set bits: those that an odd number of hashes flip."""
+    at, n = np.unique(bits(h, parts), return_counts=True)
+    return at[n % 2 == 1]
 
 
 def keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """A 64-bit key for each filed part, in the spaces of the set."""
+    """A 64-bit key for each filed part, in the spaces of the set.
+
+    It is the exclusive or of a hash of each flipped bit: bits flipped twice cancel, so equal parts have equal keys.
+    """
     out = []
     for space in bands.spaces(len(h)) if len(h) else ():
         parts, spare = bands.parts(space)
-        bits = sketch(h, parts)
-        at = np.arange(parts) if (bits == 0).sum() > spare else np.flatnonzero(bits)
-        out.append(mixed(bits[at] ^ mixed(np.uint64(space << 32) + at.astype(np.uint64))))
+        flipped = bits(h, parts)
+        part, hashed = (flipped >> np.uint64(PART_BITS)).astype(np.int64), mixed(flipped + np.uint64(1))
+        found = np.zeros(parts, np.uint64)
+        np.bitwise_xor.at(found, part, hashed)
+        at = np.arange(parts) if (found == 0).sum() > spare else np.flatnonzero(found)
+        out.append(mixed(found[at] ^ mixed(np.uint64(space << 32) + at.astype(np.uint64))))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
