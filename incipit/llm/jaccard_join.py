@@ -12,8 +12,9 @@ links is one component and needs no more pairs, so a family of near copies costs
 of different components are left in a key, those of up to `pair_limit` classes are paired between components. Crowded ones (a
 passage that many texts share) are compared by their rarest shingles instead: two linked sets share one of the first
 n - ceil(t n) + 1 of each, in the order of document frequency. Groups by rare shingle are treated alike, and what is still
-crowded and of several components is paired between them. Every pair is verified by exact intersection. No link is lost on
-any way.
+crowded and of several components is paired between them. Every pair is first held to the Hamming distance of two dense
+sketches of some bits for each difference that is allowed, and what is left is verified by exact intersection. No link is
+lost on any way.
 
 Sets are made again from the texts for the classes that are compared, and only for those; up to `known_rows` of them reach
 the scan as a broadcast of checked size, beyond that by a shuffle.
@@ -55,9 +56,9 @@ class Rule:
     def linked(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
-    def least_overlap(self, n: int) -> int:
-        """What a set of n shares with any linked one."""
-        return -(-self.num * n // self.den)
+    def most_apart(self, sizes: int) -> int:
+        """The largest symmetric difference of linked sets whose sizes add up to this."""
+        return (self.den - self.num) * sizes // (self.den + self.num)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -114,13 +115,18 @@ class Bands:
 
     def spaces(self, n: int) -> list[int]:
         own = self.of(n)
-        self.of(self.starts[own + 1])
+        self.of(self.starts[own + 1] + 1)  # so that the next one's bound is known
+        while len(self.starts) < own + 3:
+            self.of(self.starts[-1])
         return [own, own + 1] if self.rule.den * n >= self.rule.num * self.starts[own + 1] else [own]
 
+    def dense(self, space: int) -> int:
+        """Bits of a dense sketch."""
+        return 8 * (self.rule.most_apart(2 * (self.starts[space + 1] - 1)) + 8)
+
     def parts(self, space: int) -> tuple[int, int]:
         """Parts and Z."""
-        most = 2 * (self.starts[space + 1] - 1)
-        differ = (self.rule.den - self.rule.num) * most // (self.rule.den + self.rule.num)
+        differ = self.rule.most_apart(2 * (self.starts[space + 1] - 1))
         spare = int(0.03 * differ + 2 * (0.03 * differ) ** 0.5)
         return differ + 1 + spare, spare
 
@@ -136,6 +142,17 @@ def sketch(h: np.ndarray, parts: int) -> np.ndarray:
     return at[n % 2 == 1]
 
 
+def packed(h: np.ndarray, n_bits: int) -> bytes:
+    """A dense parity sketch of n_bits bits."""
+    at = ((h >> np.uint64(32)) * np.uint64(n_bits)) >> np.uint64(32)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=n_bits) % 2 == 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two packed sketches of one length: at most the symmetric difference of their sets."""
+    return int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
+
+
 def keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     """A 64-bit key for each filed part, in the spaces of the set.
 
@@ -189,7 +206,8 @@ def texts_of(docs: DataFrame, classes: DataFrame, known_rows: int = 300_000) ->
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, filed: bool = False) -> DataFrame:
-    """c, h (the sorted hashes, packed) of the classes, from the texts; or, to be filed, c, n and keys."""
+    """c, h (the sorted hashes, packed) of the classes, from the texts; or, to be filed, c, n, keys, and dense sketches in the
+    set's own space and the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = Words(), Bands(rule)
@@ -202,16 +220,39 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, filed: bool = False
                     found = [keys(h, bands) for h in sets]
                     offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-                    yield pa.RecordBatch.from_arrays([c, pa.array([len(h) for h in sets], pa.int64()), lists], ["c", "n", "keys"])
+                    own = [bands.spaces(len(h))[0] for h in sets]
+                    dense = [pa.array([packed(h, bands.dense(k + d)) for h, k in zip(sets, own, strict=True)], pa.binary()) for d in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([c, pa.array([len(h) for h in sets], pa.int64()), lists, *dense], ["c", "n", "keys", "own", "next"])
                 else:
                     yield pa.RecordBatch.from_arrays([c, pa.array([h.tobytes() for h in sets], pa.binary())], ["c", "h"])
 
-    return texts_of(docs, classes).mapInArrow(run, "c long, n long, keys array<long>" if filed else "c long, h binary")
+    return texts_of(docs, classes).mapInArrow(run, "c long, n long, keys array<long>, own binary, next binary" if filed else "c long, h binary")
+
+
+def near(pairs: DataFrame, filed: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) whose sizes and dense sketches let them link."""
+    side = lambda c: filed.select(F.col("c").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "own", "next")])
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "own_u", "own_v", "next_u", "next_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(rule)
+        for batch in batches:
+            keep = []
+            n_u, n_v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for k, (a, b) in enumerate(zip(n_u, n_v, strict=True)):
+                if rule.linked(a, b, min(a, b)):
+                    up = bands.of(a) - bands.of(b)  # linked sizes lie at most one band apart
+                    x, y = batch.column(4 if up >= 0 else 6)[k].as_py(), batch.column(5 if up <= 0 else 7)[k].as_py()
+                    if apart(x, y) <= rule.most_apart(a + b):
+                        keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (u, v) of classes that link, by exact intersection."""
-    pairs = cut(pairs, "jaccard-pairs")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, filed: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) of classes that link: by sketches, then by exact intersection."""
+    pairs = cut(near(pairs, filed, rule), "jaccard-pairs")
     met = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
     sets = cut(sets_of(docs, classes.join(met, "c"), rule), "jaccard-sets")
     both = pairs.join(sets.select(F.col("c").alias("u"), F.col("h").alias("hu")), "u").join(sets.select(F.col("c").alias("v"), F.col("h").alias("hv")), "v")
@@ -267,10 +308,10 @@ def by_rare_shingles(docs: DataFrame, classes: DataFrame, crowded: DataFrame, ru
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rule: Rule, pair_limit: int) -> DataFrame:
-    """node, root for the linked classes; classes as texts_of() takes them, filed has c, keys."""
+    """node, root for the linked classes; classes as texts_of() takes them, filed is what sets_of() files of them."""
     each = filed.select("c", F.explode("keys").alias("key"))
     groups = cut(each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "jaccard-keys")
-    edges = verified(stars(several(groups)), docs, classes, rule)
+    edges = verified(stars(several(groups)), docs, classes, filed, rule)
     roots = cut(components(edges), "jaccard-roots")
     groups = cut(several(groups, roots), "jaccard-several")
     if groups.isEmpty():
@@ -278,12 +319,12 @@ def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rul
     crowded, pairs = groups.where(F.col("n") > pair_limit), across(groups.where(F.col("n") <= pair_limit))
     rare = cut(several(by_rare_shingles(docs, classes, crowded, rule), roots), "jaccard-rare")
     pairs = pairs.unionByName(across(rare.where(F.col("n") <= pair_limit))).unionByName(stars(rare.where(F.col("n") > pair_limit))).distinct()
-    edges = edges.unionByName(verified(pairs, docs, classes, rule))
+    edges = edges.unionByName(verified(pairs, docs, classes, filed, rule))
     roots = cut(components(edges), "jaccard-roots")
     rare = cut(several(rare.where(F.col("n") > pair_limit), roots), "jaccard-rest")
     if rare.isEmpty():
         return roots
-    return components(edges.unionByName(verified(across(rare), docs, classes, rule)))
+    return components(edges.unionByName(verified(across(rare), docs, classes, filed, rule)))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), pair_limit: int = 16) -> DataFrame:

@@ -99,6 +99,17 @@ def test_sketch_distance_is_at_most_the_difference(monkeypatch):
             assert apart <= len(np.setxor1d(base, other)) and (apart - len(np.setxor1d(base, other))) % 2 == 0
 
 
+def test_dense_sketch_distance_is_at_most_the_difference():
+    rng = np.random.default_rng(4)
+    for n, lost in ((50, 3), (500, 40), (500, 400)):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        other = np.concatenate([base[lost:], rng.integers(0, 2**64, lost, dtype=np.uint64)])
+        for bits in (64, 1000):
+            far = jj.apart(jj.packed(base, bits), jj.packed(other, bits))
+            assert far <= 2 * lost and far % 2 == 0
+    assert jj.apart(jj.packed(base, 4000), jj.packed(other, 4000)) > 500
+
+
 def test_linked_sets_share_a_key():
     """Just above the threshold, over sizes at and around the bands' bounds: some key is shared."""
     rng = np.random.default_rng(3)
