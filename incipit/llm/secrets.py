@@ -6,15 +6,19 @@ characters that no base match touches are then scored: two first-order character
 identifiers, are fitted by counting bigrams of labelled samples, and a run whose log-likelihood ratio is high in sum and per
 character is reported as `markov`. Ratios are whole millinats, so sums are exact.
 
-Labelled samples: random strings are generated by hashing (`samples` of each alphabet); identifiers are the words of
-`train_docs` documents (those with the lowest hash), with base matches cut out. Both bounds are parameters. The model is a
-table of fixed size (alphabet squared), so it may pass through the driver; scanning is one narrow pass without a shuffle.
+Labelled samples: random strings are generated by hashing (`samples` of each alphabet). Ordinary ones are identifiers made
+of common English words in the styles of code (snake_case, camelCase, PascalCase, UPPER_SNAKE, kebab-case, paths, with
+numbers and short forms), rules of one character, and the words of `train_docs` documents (those with the lowest hash), with
+base matches cut out; words and identifiers weigh the same. All bounds are parameters. Pairs that the ordinary samples lack
+are smoothed by the frequency of the characters. The model is a table of fixed size (alphabet squared), so it may pass
+through the driver; scanning is one narrow pass without a shuffle. A UUID is an identifier and not reported, neither are
+runs of one character or paths of words.
 
 Offsets are running sums in blocks, overlaps one merge by start, and redaction cuts the text in blocks once, so a text of many
 secrets costs little more than its length.
 
 Edge cases: null text is empty and has no spans; texts are scanned whole, however long; repeated rows each get their row;
-empty tables give no rows (the model of an empty table is uniform over identifiers); extra columns are not read by scan()
+empty tables give no rows (the model then stands on identifiers alone); extra columns are not read by scan()
 and are kept by redacted(), also where names clash with its own.
 """
 
@@ -33,7 +37,25 @@ HEX = "[0-9a-f]{32,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN_CLASS = "A-Za-z0-9+/_=-"
 #: Least length of a scored run, least ratio in sum and on average (millinats).
-LEAST_RUN, LEAST_SUM, LEAST_MEAN = 20, 12_000, 500
+LEAST_RUN, LEAST_SUM, LEAST_MEAN = 20, 16_000, 800
+#: How many counts the character frequencies weigh in each row of the ordinary model.
+PRIOR = 400
+UUID = "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+# Common words of identifiers, the labelled sample of ordinary ones is made of them.
+NAME_WORDS = """
+abstract access account action active address after agent allow answer apply array assert async attribute audio auth
+average background backup balance base batch before binary block board body boolean border bottom branch browser buffer
+build button byte cache call cancel category change channel character check child class clean client close cluster code
+collection color column command comment commit common compare complete component config connection constant container
+content context control convert copy core count create current custom data database date debug decode default define delete
+depth description detail device dialog different directory disable display document domain download driver dynamic edge
+edit element email empty enable encode end engine entity entry environment error event example exception execute exist
+expected export expression extension external factory feature field file filter final find first flag float folder font
+force format forward frame from function general generate get global graph group handler hash header height hidden history
+host https icon image import index info initialize input insert instance integer interface internal interval invalid item
+join kernel key kind label language large last layer layout length level library license limit line link list load local
+location lock
+""".split()
 
 
 def let(value: Column, f) -> Column:
@@ -128,6 +150,23 @@ def ordinary_strings(docs: DataFrame, train_docs: int) -> DataFrame:
     return some.select(words.alias("w")).select(F.explode(F.concat("w", joined)).alias("s"))
 
 
+def identifiers(spark, samples: int) -> DataFrame:
+    """Label ordinary: words joined in the styles of code, some with numbers or short forms, and rules of one character."""
+    at = lambda *key: F.get(F.split(F.lit(" ".join(NAME_WORDS)), " "), F.pmod(F.xxhash64("id", *map(F.lit, key)), F.lit(len(NAME_WORDS))).cast("int"))
+    number = lambda most, key: F.pmod(F.xxhash64("id", F.lit(key)), F.lit(most)).cast("string")
+    few = F.pmod(F.xxhash64("id", F.lit("few")), F.lit(4)).cast("int") + 2
+    first = F.when(F.col("id") % 9 == 0, F.concat(at("w", 0), number(64, "width"))).otherwise(at("w", 0))
+    words = F.slice(F.array(first, *[at("w", k) for k in range(1, 5)]), 1, few)
+    words = F.concat(words, F.when(F.col("id") % 4 == 0, F.array(number(300, "number"))).otherwise(F.array().cast("array<string>")), F.when(F.col("id") % 7 == 0, F.array(F.upper(F.substring(at("short"), 1, 3)))).otherwise(F.array().cast("array<string>")))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
+    pascal = F.array_join(F.transform("w", capital), "")
+    camel = F.concat(F.get("w", F.lit(0)), F.array_join(F.transform(F.slice("w", F.lit(2), F.size("w")), capital), ""))
+    path = F.array_join("w", "/")
+    made = spark.range(samples).select(words.alias("w")).select(F.explode(F.array(F.array_join("w", "_"), camel, pascal, F.upper(F.array_join("w", "_")), F.array_join("w", "-"), path, F.concat(F.lit("/"), path))).alias("s"))
+    rules = spark.range(5).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("c")).where("c <> ''").select(F.repeat("c", F.lit(40)).alias("s"))
+    return made.unionByName(rules)
+
+
 def bigrams(strings: DataFrame) -> DataFrame:
     """Counts by (a, b): positions in ALPHABET from 1, a = 0 at the start."""
     at = F.transform(F.split("s", ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -135,18 +174,26 @@ def bigrams(strings: DataFrame) -> DataFrame:
     return pairs.where("p.a is not null and p.b is not null").groupBy("p.a", "p.b").count()
 
 
-def trained(docs: DataFrame, samples: int = 2000, train_docs: int = 1000) -> list[int]:
+def trained(docs: DataFrame, samples: int = 2000, train_docs: int = 1000, names: int = 3000) -> list[int]:
     """Log-likelihood ratio (random to ordinary, millinats) of each (previous, next) character, row by row."""
-    n = len(ALPHABET)
+    n, spark = len(ALPHABET), docs.sparkSession
 
-    def logs(counts: DataFrame) -> list[float]:
-        c = [[0.5] * (n + 1) for _ in range(n + 1)]
-        for r in counts.collect():  # at most 68 x 67 rows
+    def table(strings: DataFrame) -> list[list[float]]:
+        c = [[0.0] * (n + 1) for _ in range(n + 1)]
+        for r in bigrams(strings).collect():  # at most 68 x 67 rows
             c[r.a][r.b] += r["count"]
-        return [math.log(c[a][b] / sum(c[a][1:])) for a in range(n + 1) for b in range(1, n + 1)]
+        return c
 
-    rnd, word = logs(bigrams(random_strings(docs.sparkSession, samples))), logs(bigrams(ordinary_strings(docs, train_docs)))
-    return [round(1000 * (a - b)) for a, b in zip(rnd, word, strict=True)]
+    rnd, made, prose = table(random_strings(spark, samples)), table(identifiers(spark, names)), table(ordinary_strings(docs, train_docs))
+    total = lambda c: sum(map(sum, c))
+    weight = total(made) / (total(prose) or 1.0)  # as many characters of words as of identifiers
+    word = [[x + weight * y for x, y in zip(p, q, strict=True)] for p, q in zip(made, prose, strict=True)]
+    whole = total(word)
+    often = [sum(row[b] for row in word) / whole for b in range(n + 1)]
+    word = [[0.0] + [row[b] + PRIOR * (often[b] / 2 + 1 / (2 * n)) for b in range(1, n + 1)] for row in word]
+    rnd = [[0.0] + [row[b] + 0.5 for b in range(1, n + 1)] for row in rnd]
+    logs = lambda c: [math.log(row[b] / sum(row)) for row in c for b in range(1, n + 1)]
+    return [round(1000 * (a - b)) for a, b in zip(logs(rnd), logs(word), strict=True)]
 
 
 def ratio(run: Column, model: list[int]) -> Column:
@@ -167,7 +214,7 @@ def random_runs(text: Column, model: list[int]) -> Column:
     pattern = f"(?<![{RUN_CLASS}])[{RUN_CLASS}]{{{LEAST_RUN},}}+"
 
     def random(run: Column) -> Column:
-        return let(ratio(run, model), lambda s: (s >= LEAST_SUM) & (s >= F.length(run) * LEAST_MEAN))
+        return let(ratio(run, model), lambda s: (s >= LEAST_SUM) & (s >= F.length(run) * LEAST_MEAN)) & ~run.rlike(UUID)
 
     return spans_of(text, pattern, 3, random)
 

@@ -55,6 +55,48 @@ def test_markov_on_held_out(spark, model):
     assert not [k for k in hit if k >= len(rnd)]
 
 
+STYLES = {
+    "snake": "_*[a-z0-9]+(_+[a-z0-9]+)+_*", "upper": "_*[A-Z0-9]+(_[A-Z0-9]+)+_*", "camel": "_*[a-z]+([A-Z][a-z0-9]*)+", "pascal": "_*([A-Z][a-z0-9]*)+", "kebab": "[a-z0-9]+(-[a-z0-9]+)+",
+    "path": "/?[A-Za-z0-9_-]+(/[A-Za-z0-9_-]+)+/?",
+}
+
+
+def test_identifiers_of_real_code(spark, model):
+    """Names of 20 characters or more from installed sources, none of which the model is trained on: under 2 % in each style."""
+    import sysconfig
+    from pathlib import Path
+
+    found = set()
+    for folder in ("stdlib", "purelib"):
+        files = sorted(Path(sysconfig.get_paths()[folder]).glob("**/*.py"))
+        for path in random.Random(2).sample(files, min(2500, len(files))):
+            found |= set(re.findall(f"(?<![{secrets.RUN_CLASS}])[{secrets.RUN_CLASS}]{{20,}}", path.read_text(errors="ignore")))
+    flagged = lambda s: llr(s, model) >= max(secrets.LEAST_SUM, len(s) * secrets.LEAST_MEAN) and not re.match(secrets.UUID, s)
+    for style, pattern in STYLES.items():
+        names = [s for s in found if re.fullmatch(pattern, s) and not re.fullmatch("[0-9A-Fa-f-]+", s)]
+        assert len(names) > 30, (style, len(names))
+        assert sum(map(flagged, names)) <= 0.02 * len(names), (style, [s for s in names if flagged(s)][:20])
+
+
+def test_random_strings_by_alphabet(model):
+    """Held-out random strings of each alphabet: over 90 % found in each."""
+    r = random.Random(21)
+    one = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    a, d = secrets.ALPHABET, "0123456789"
+    kinds = {"base64": lambda: base64.b64encode(r.randbytes(24)).decode(), "url": lambda: base64.urlsafe_b64encode(r.randbytes(30)).decode(), "base62": lambda: one(a[:62], 20), "base32": lambda: one(a[26:52] + "234567", 32), "hex": lambda: "%024x" % r.getrandbits(96), "upper hex": lambda: "%032X" % r.getrandbits(128), "lower": lambda: one(a[:26] + d, 30)}
+    for kind, make in kinds.items():
+        hits = sum(llr(s, model) >= max(secrets.LEAST_SUM, len(s) * secrets.LEAST_MEAN) for s in (make() for _ in range(500)))
+        assert hits > 450, (kind, hits)
+
+
+def test_stated_verdicts(spark, model):
+    """Rules of one character, UUIDs and paths are ordinary, also in the pipeline's redaction of code."""
+    code = "def getUserAccountInformationFromDatabase(self): return ABOVE_NORMAL_PRIORITY_CLASS\n" + "-" * 29 + "\n" + "=" * 80 + "\n" + "0" * 24 + " 123e4567-e89b-12d3-a456-426614174000 AFTSurvivalRegressionModel /usr/local/lib/python3/site-packages/numpy\n"
+    docs = spark.createDataFrame([(1, code), (2, code + "key wJalrXUtnFEMIK7MDENGbPxRfiCYzq9Lk3Tv")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs, model).collect()}
+    assert got == {1: code, 2: code + "key [SECRET]"}
+
+
 def llr(run, model):
     """The run's log-likelihood ratio, character by character."""
     n, before, total = len(secrets.ALPHABET), 0, 0
@@ -70,7 +112,7 @@ def brute_markov(text, model):
     text = text or ""
     base = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text, re.A) if len(m[2]) >= 8 and m[1].isascii()]
     base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
-    runs = [m.span() for m in re.finditer(f"[{secrets.RUN_CLASS}]+", text) if len(m[0]) >= secrets.LEAST_RUN and llr(m[0], model) >= max(secrets.LEAST_SUM, len(m[0]) * secrets.LEAST_MEAN)]
+    runs = [m.span() for m in re.finditer(f"[{secrets.RUN_CLASS}]+", text) if len(m[0]) >= secrets.LEAST_RUN and llr(m[0], model) >= max(secrets.LEAST_SUM, len(m[0]) * secrets.LEAST_MEAN) and not re.match(secrets.UUID, m[0])]
     return runs, [(a, b) for a, b in runs if not any(c < b and a < d for c, d in base)]
 
 
