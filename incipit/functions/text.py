@@ -6,8 +6,10 @@ White space is that of the JVM's `\\s` (ASCII).
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,24 @@ def ligature_count(text: Column | str) -> Column:
     return F.regexp_count(col(text), F.lit("[" + "".join(LIGATURES) + "]"))
 
 
+def nfc(text: Column | str) -> Column:
+    """The text in Unicode's composed form.
+
+    Texts without any combining mark, Hangul letter or character of a compatibility block are in that form already; only the
+    others go through Python, in Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def composed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    # Blocks that hold every character whose composed form differs or that joins the one before it.
+    open_forms = r"[\p{M}\u0340-\u0387\u0958-\u0fb9\u1100-\u11ff\u1f71-\u1ffd\u2000-\u2001\u2126-\u212b\u2329-\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e]|[^\u0000-\uffff]"
+    text = col(text)
+    some = text.rlike(open_forms)
+    return F.when(some, composed(F.when(some, text))).otherwise(text)
+
+
 def plain(text: Column | str) -> Column:
     """Quotes, dashes, bullets and no-break spaces in their plain form."""
     return F.translate(col(text), PLAIN_FROM, PLAIN_TO)

@@ -101,6 +101,12 @@ def calls(chapters: int, questions: int, variants: int = 2, judges: int = 2) ->
     return {"chapters": chapters, "questions": questions, "per_question": per, "total": chapters + questions * per}
 
 
+def call_plan(books: DataFrame, variants: int = 2, judges: int = 2) -> DataFrame:
+    """books (book, chapters, questions) with per_question and total, as calls() counts them."""
+    per = calls(0, 0, variants, judges)["per_question"]
+    return books.withColumn("per_question", F.lit(per).cast("long")).withColumn("total", F.col("chapters") + F.col("questions") * F.col("per_question"))
+
+
 def term_mentioned(items: DataFrame, refs: DataFrame) -> DataFrame:
     """qid, mentioned: does the chapter's file hold the term at the start of a word?"""
     quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(F.lower("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))

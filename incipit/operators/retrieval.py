@@ -1,7 +1,7 @@
 """Chunks, an inverted index with BM25 ranking, and evidence found in ranked units.
 
-Without an index, documents are read twice, for lengths and for the tokens that are asked for; a kept index is a postings
-table, of which a query touches only its own tokens, by an equi-join. Gold evidence meets units through an equi-join on word trigrams, never by pairing every question with every unit. Tokens that very many
+Without an index, one narrow pass makes a row of counted tokens for each document, which lengths and hits are read from; a
+kept index is a postings table in buckets with bounds for each token, of which a query reads its own buckets. Gold evidence meets units through an equi-join on word trigrams, never by pairing every question with every unit. Tokens that very many
 documents hold are dropped as stopwords; adaptive execution splits what is left of the skew, and sums are partial before
 the shuffle.
 """
@@ -94,32 +94,40 @@ def whole_files(files: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- BM25
 
 
+def term_rows(docs: DataFrame) -> DataFrame:
+    """doc, len, terms (array of tok and tf), in one narrow pass: sorted tokens are cut into runs of one token."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(tx.tokenize("text")), " "), F.lit(r"(\S++)(?: \1(?!\S))*+"), F.lit(0))
+    rows = docs.select("doc", F.coalesce(runs, F.array().cast("array<string>")).alias("runs"))
+    terms = F.transform("runs", lambda r: tx.let(F.substring_index(r, " ", 1), lambda t: F.struct(t.alias("tok"), ((F.length(r) + 1) / (F.length(t) + 1)).cast("long").alias("tf"))))
+    return rows.select("doc", F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t["tf"]).cast("int").alias("len"), terms.alias("terms"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """doc, tok, tf, len. Documents without tokens have one row with a null token, so that counts and the mean length hold them."""
-    tokens = docs.select(F.col("doc"), tx.tokenize("text").alias("t")).select("doc", F.size("t").alias("len"), F.explode_outer("t").alias("tok"))
-    return tokens.groupBy("doc", "tok").agg(F.count("tok").alias("tf"), F.first("len").alias("len"))
+    return term_rows(docs).select("doc", F.explode_outer("terms").alias("t"), "len").select("doc", "t.tok", F.coalesce("t.tf", F.lit(0).cast("long")).alias("tf"), "len")
 
 
-def matching(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc, tok, tf, len of the tokens that are asked for: others are dropped where they are read, before any shuffle."""
-    tokens = docs.select("doc", tx.tokenize("text").alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("tok"))
-    return tokens.join(small(cut(asked.select("tok").distinct(), "bm25-words")), "tok").groupBy("doc", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def weighed(tf: Column, length: Column, average: float, k1: float = K1, b: float = B) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame | None, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
-    """qid, doc, score for every document with a query token, from docs (doc, text) in two narrow passes, or from a kept postings table."""
+    """qid, doc, score for every document with a query token, from docs (doc, text) or from a kept postings table."""
     asked = queries.select("qid", F.explode(tx.tokenize("query")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
     asked = small(cut(asked, "bm25-queries"))
+    words = small(cut(asked.select("tok").distinct(), "bm25-words"))
     if index is None:
-        lengths, hit = docs.select(F.size(tx.tokenize("text")).alias("len")), matching(docs, asked)
+        rows = cut(term_rows(docs), "bm25-terms")
+        lengths = rows.select("len")
+        hit = rows.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.tok", "t.tf").join(words, "tok")
     else:
-        lengths, hit = index.groupBy("doc").agg(F.first("len").alias("len")), index.join(asked.select("tok").distinct(), "tok", "left_semi")
+        lengths, hit = index.groupBy("doc").agg(F.first("len").alias("len")), index.join(words, "tok", "left_semi")
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = totals.n, totals.avg or 1.0
     hit = cut(hit, "bm25-hits")
     idf = hit.groupBy("tok").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
     idf = small(cut(idf, "bm25-idf"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
+    part = F.col("qf") * F.col("idf") * weighed(F.col("tf"), F.col("len"), avg, k1, b)
     return hit.join(idf, "tok").join(asked, "tok").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
@@ -129,6 +137,56 @@ def bm25_topk(queries: DataFrame, docs: DataFrame | None, k: int = 10, k1: float
     return bm25_scores(queries, docs, k1, b, index).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
 
 
+def kept_index(docs: DataFrame, path: str, buckets: int = 64, k1: float = K1, b: float = B) -> None:
+    """Write an index of docs (doc, text): postings by bucket of the token (tok, doc, weight), words (tok, idf, most: the largest
+    weight), so that a search reads the buckets of its own words and knows what each of them can add at most."""
+    rows = cut(term_rows(docs), "index-terms")
+    totals = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    n, avg = totals.n, totals.avg or 1.0
+    posts = rows.select("doc", "len", F.explode("terms").alias("t")).select("t.tok", "doc", weighed(F.col("t.tf"), F.col("len"), avg, k1, b).alias("weight"))
+    bucket = F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int")
+    # A word that very many documents have is dealt over several tasks by its documents.
+    posts.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = rows.sparkSession.read.parquet(f"{path}/postings")
+    words = written.groupBy("tok", "bucket").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
+    words.select("tok", "bucket", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "most").write.mode("overwrite").parquet(f"{path}/words")
+
+
+def indexed_topk(queries: DataFrame, path: str, k: int = 10) -> DataFrame:
+    """bm25_topk from a kept index, without scoring documents that cannot be among the k best.
+
+    A query's words are taken by what they add at most, largest first. The k-th best score of documents by the words that add
+    most bounds the k-th best of all from below. Words whose largest sums together stay beneath it cannot bring a document
+    in by themselves: only documents of the other words are candidates, and the rest is added up for those alone.
+    """
+    spark = queries.sparkSession
+    asked = cut(queries.select("qid", F.explode(tx.tokenize("query")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf")), "search-queries")
+    words = spark.read.parquet(f"{path}/words").join(small(asked), "tok").select("qid", "tok", "bucket", (F.col("qf") * F.col("idf")).alias("factor"), (F.col("qf") * F.col("idf") * F.col("most")).alias("most"))
+    down = Window.partitionBy("qid").orderBy(F.desc("most"), "tok")
+    rest = F.sum("most").over(down.rowsBetween(1, Window.unboundedFollowing))
+    words = cut(words.withColumns({"place": F.row_number().over(down), "rest": F.coalesce(rest, F.lit(0.0))}), "search-words")
+    stored = spark.read.parquet(f"{path}/postings")
+
+    def scored(some: DataFrame) -> DataFrame:
+        buckets = [r.bucket for r in some.select("bucket").distinct().collect()]  # at most as many as the index has
+        hits = stored.where(F.col("bucket").isin(buckets)).join(small(some.select("qid", "tok", "factor")), "tok")
+        return hits.groupBy("qid", "doc").agg(F.sum(F.col("factor") * F.col("weight")).alias("score"))
+
+    best = Window.partitionBy("qid").orderBy(F.desc("score"))
+    floor = scored(words.where("place <= 2")).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("qid", F.col("score").alias("floor"))
+    # Scores are sums in any order: a little slack keeps documents that tie with the k-th.
+    words = cut(words.join(floor, "qid", "left").withColumn("brings", F.coalesce(F.col("rest") + F.col("most") >= F.col("floor") - 1e-6, F.lit(True))), "search-bounds")
+    first = cut(scored(words.where("brings")), "search-first")
+    late = words.where("NOT brings")
+    candidates = first.join(floor, "qid", "left").join(late.groupBy("qid").agg(F.sum("most").alias("more")), "qid", "left")
+    candidates = cut(candidates.where(F.coalesce(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("floor") - 1e-6, F.lit(True))).select("qid", "doc", "score"), "search-candidates")
+    buckets = [r.bucket for r in late.select("bucket").distinct().collect()]
+    added = stored.where(F.col("bucket").isin(buckets)).join(small(late.select("qid", "tok", "factor")), "tok").join(candidates.select("qid", "doc"), ["qid", "doc"], "left_semi").select("qid", "doc", (F.col("factor") * F.col("weight")).alias("score"))
+    total = candidates.unionByName(added).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc"))
+    return total.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
+
+
 # ----------------------------------------------------------------- evidence
 
 
@@ -145,6 +203,26 @@ def coverages(gold: DataFrame, units: DataFrame) -> DataFrame:
     return common.groupBy("qid", "doc").agg(F.max(F.col("k") / F.col("n")).alias("coverage"))
 
 
+def evidence_found(golds: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """qid, sent, doc, coverage of the units that hold at least the threshold of a gold sentence's trigrams; units (doc, text), doc unique.
+
+    A unit that holds k of a sentence's n grams lacks n - k, so it has one of any n - k + 1 of them: only the rarest of each
+    sentence (by the units that hold them) look for units, and candidates alone are counted in full.
+    """
+    gold = cut(evidence(golds), "gold")
+    grams = cut(units.select("doc", tx.gram_set("text").alias("g")), "unit-grams")
+    wanted = small(cut(gold.select("gram").distinct(), "gold-grams"))
+    held = grams.select("doc", F.explode("g").alias("gram")).join(wanted, "gram")
+    often = cut(held.groupBy("gram").agg(F.count("*").alias("df")), "gram-df")
+    rare = Window.partitionBy("qid", "sent").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
+    first = gold.join(often, "gram", "left").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - least + 1).where("df > 0")
+    candidates = grams.select("doc", F.explode("g").alias("gram")).join(small(cut(first.select("qid", "sent", "gram"), "gram-first")), "gram").select("qid", "sent", "doc").distinct()
+    sentences = gold.groupBy("qid", "sent").agg(F.collect_list("gram").alias("goal"))  # a sentence's grams
+    counted = candidates.join(grams, "doc").join(sentences, ["qid", "sent"]).select("qid", "sent", "doc", (F.size(F.array_intersect("goal", "g")) / F.size("goal")).alias("coverage"))
+    return counted.where(F.col("coverage") >= threshold)
+
+
 def best_coverage(golds: DataFrame, units: DataFrame) -> DataFrame:
     """qid, best: over all units, 0 where none shares a trigram."""
     found = coverages(cut(evidence(golds), "gold"), units).groupBy("qid").agg(F.max("coverage").alias("best"))

@@ -36,39 +36,35 @@ def tfidf(paragraphs: DataFrame, least_tf: int = 3) -> DataFrame:
 def topics(scored: DataFrame, n: int = 8, candidates: int = 2000) -> DataFrame:
     """grp, topics: best terms without overlap of stems; a phrase takes the place of one picked word it holds.
 
-    Greedy and sequential, so Python by group, in rounds of `candidates` terms in score order: a group that has not picked n
-    when its round ends goes on with its next terms, until it has n or no term is left.
+    A greedy pick, as a fold over ranked terms in rounds of `candidates`, so no row holds a group's whole vocabulary: a group
+    that has not picked n when its round ends goes on with its next terms, until it has n or no term is left.
     """
-    kind = dict(scored.dtypes)["grp"]
+    pick = "array<struct<term:string,stems:array<string>>>"
     order = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("term"))
     ranked = scored.withColumn("k", F.row_number().over(order)).withColumn("stems", F.transform(F.split("term", " "), tx.stem))
-    picked = f"grp {kind}, topics array<string>, stems array<array<string>>, next int"
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = pdf[["had", "had_stems"]].iloc[0]
-        chosen = [] if before["had"] is None else [(t, set(s)) for t, s in zip(before["had"], before["had_stems"], strict=True)]
-        for r in pdf.sort_values("k").itertuples():
-            own = set(r.stems)
-            touching = [j for j, (_, other) in enumerate(chosen) if own & other]
-            if not touching:
-                chosen.append((r.term, own))
-                if len(chosen) == n:
-                    break
-            elif len(touching) == 1 and len(r.term.split()) == 2 and " " not in chosen[touching[0]][0]:
-                chosen[touching[0]] = (r.term, own)
-        more = len(chosen) < n and len(pdf) == candidates
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "topics": [[t for t, _ in chosen]], "stems": [[sorted(s) for _, s in chosen]], "next": [int(pdf["k"].max()) if more else -1]})
-
-    done, first = [], ranked.where(F.col("k") <= candidates).withColumns({"had": F.lit(None).cast("array<string>"), "had_stems": F.lit(None).cast("array<array<string>>")})
+    ranked = cut(ranked.select("grp", "k", "term", "stems"), "topics-ranked")
+
+    def step(picked: Column, x: Column) -> Column:
+        me = F.struct(x["term"].alias("term"), x["stems"].alias("stems"))
+
+        def placed(touching: Column) -> Column:
+            swaps = (F.size(touching) == 1) & F.contains(x["term"], F.lit(" ")) & ~F.contains(F.get(touching, F.lit(0))["term"], F.lit(" "))
+            swapped = F.transform(picked, lambda p: F.when(F.arrays_overlap(p["stems"], x["stems"]), me).otherwise(p))
+            return F.when(F.size(picked) >= n, picked).when(F.size(touching) == 0, F.concat(picked, F.array(me))).when(swaps, swapped).otherwise(picked)
+
+        return tx.let(F.filter(picked, lambda p: F.arrays_overlap(p["stems"], x["stems"])), placed)
+
+    had, first, done = ranked.select("grp").distinct().withColumn("had", F.array().cast(pick)), 0, []
     while True:
-        now = cut(first.select("grp", "k", "term", "stems", "had", "had_stems").groupBy("grp").applyInPandas(pick, picked), "topics")
-        done.append(now.where("next < 0").select("grp", "topics"))
-        left = now.where("next >= 0").select(F.col("grp").alias("_grp"), F.col("topics").alias("had"), F.col("stems").alias("had_stems"), "next")
-        if left.isEmpty():
+        some = ranked.where(F.col("k").between(first + 1, first + candidates)).select(F.col("grp").alias("_grp"), "k", "term", "stems")
+        some = some.groupBy("_grp").agg(F.sort_array(F.collect_list(F.struct("k", "term", "stems"))).alias("ts"))
+        now = had.join(some, F.col("grp").eqNullSafe(F.col("_grp")), "left").select("grp", F.aggregate(F.coalesce("ts", F.array().cast("array<struct<k:int,term:string,stems:array<string>>>")), F.col("had"), step).alias("had"), (F.size("ts") == candidates).alias("more"))
+        now = cut(now, "topics")
+        goes_on = F.coalesce("more", F.lit(False)) & (F.size("had") < n)
+        done.append(now.where(~goes_on).select("grp", F.transform("had", lambda p: p["term"]).alias("topics")))
+        had, first = now.where(goes_on).select("grp", "had"), first + candidates
+        if had.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        first = ranked.join(left, F.col("grp").eqNullSafe(F.col("_grp"))).where(F.col("k").between(F.col("next") + 1, F.col("next") + candidates))
-        # A group whose terms end with a full round has no next one: what it has is all.
-        done.append(left.join(first.select("grp").distinct(), F.col("_grp").eqNullSafe(F.col("grp")), "left_anti").select(F.col("_grp").alias("grp"), F.col("had").alias("topics")))
 
 
 def vocabulary_df(docs: DataFrame) -> DataFrame:

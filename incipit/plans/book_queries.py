@@ -42,6 +42,26 @@ def chapters_found(spark, sf):
     return c.select("book", F.col("chapter_no").cast("long").alias("chapter_no"), "number", "title", F.col("page").cast("long").alias("page"), F.col("last_page").cast("long").alias("last_page"), F.col("sections").cast("long").alias("sections"), "label")
 
 
+def structure_sections(spark, sf):
+    s = structure.sections(found_book(spark, sf))
+    return s.select("book", F.col("chapter_no").cast("long").alias("chapter_no"), F.col("section_no").cast("long").alias("section_no"), "title", F.col("page").cast("long").alias("page"))
+
+
+def extract_references(spark, sf):
+    """The extract of every numbered chapter; its parts have SQL of their own (section_leads, chapter_definitions, worked_examples)."""
+    refs = skill.references(found_book(spark, sf))
+    return refs.select("book", "chapter", "file", F.md5("markdown").alias("digest"), "words", "prose_words")
+
+
+def forward_anchor(spark, sf):
+    """Lines of documents as blocks: marks in every third, prose where a line has five words or more."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
+    word = F.regexp_extract("line", "[A-Za-z]+", 0)
+    raw = F.when(F.col("block_no") % 3 == 0, F.concat(F.lit("(("), word, F.lit(")) "), "line", F.lit(" ((end))"))).otherwise("")
+    rows = d.select(F.col("doc_id").cast("string").alias("chapter"), "block_no", raw.alias("raw"), F.when(F.col("block_no") % 2 == 0, F.col("line")).otherwise("few").alias("prose"))
+    return controls.forward_anchors(rows, r"\(\(([^()]*)\)\)").select("chapter", F.col("block_no").cast("long").alias("block_no"), "entry", F.md5("paragraph").alias("digest"))
+
+
 def content_coverage(spark, sf):
     """Share of words in numbered chapters, and the blocks left when the sections named Of Is are excluded."""
     found = found_book(spark, sf)
@@ -139,7 +159,7 @@ def evidence_in_text(spark, sf):
     return out.select("qid", F.size("evidence").cast("long").alias("n"), F.md5(F.array_join("evidence", "|")).alias("digest"), "gold_sentence")
 
 
-SEEDS = 5
+SEEDS = 20
 
 
 def control_summary(spark, sf):
@@ -177,7 +197,7 @@ def json_lines(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    chapters_found, content_coverage, section_leads, chapter_definitions, worked_examples, markdown_books, structure_scores, outline_pages, book_titles, retrieval_rates, retrieval_differences, evidence_retained, evidence_in_text, control_summary,
+    chapters_found, structure_sections, extract_references, forward_anchor, content_coverage, section_leads, chapter_definitions, worked_examples, markdown_books, structure_scores, outline_pages, book_titles, retrieval_rates, retrieval_differences, evidence_retained, evidence_in_text, control_summary,
     bootstrap_widths, json_lines,
 )}
 
@@ -227,6 +247,11 @@ SEARCH = f"""
 
 ORACLES = {
     "chapters_found": f"with {BLOCKS} select book, chapter_no, number, title, page, last_page, sections, trim(number || ' ' || title) as label from cc",
+    "structure_sections": f"with {BLOCKS} select book, chapter_no::bigint as chapter_no, section_no::bigint as section_no, text as title, doc_id as page from f where role = 'section'",
+    "forward_anchor": f"""with l as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), r as (select doc_id, k, l[k + 1] as line from (select *, unnest(range(0, len(l))) as k from l)),
+      b as (select *, case when k % 3 = 0 then [regexp_extract(line, '[A-Za-z]+'), 'end'] else [] end as es, regexp_extract_all(case when k % 3 = 0 then '((' || regexp_extract(line, '[A-Za-z]+') || ')) ' || line || ' ((end))' else '' end, '\\(\\(([^()]*)\\)\\)', 1) as found, case when k % 2 = 0 then line else 'few' end as prose from r),
+      p as (select *, first_value(case when {NW.format('prose')} >= 5 then prose end ignore nulls) over (partition by doc_id order by k rows between current row and unbounded following) as paragraph from b)
+      select doc_id::varchar as chapter, k::bigint as block_no, unnest(found) as entry, md5(paragraph) as digest from p where paragraph is not null""",
     "content_coverage": f"""with {BLOCKS}, w as (select co.book, {NW.format('text')} as n, number, section from co join cc using (book, chapter_no)) select book, round(coalesce(sum(n) filter (number <> ''), 0) / sum(n), 6) as coverage, count(*) filter (coalesce(lower(section), '') not in ('of is', 'of et')) as blocks from w group by 1""",
     "section_leads": f"with {BLOCKS} select book, chapter_no::bigint as chapter_no, section_no::bigint as section_no, sent_no::int as sent_no, md5(sentence) as digest from le",
     "chapter_definitions": f"""with {BLOCKS}, x as (select book, chapter_no, doc_id, k, part, sent_no, s[sent_no + 1] as sentence from ps), y as (select * from x where {DEFINES} and {NW.format('sentence')} between 6 and 45),

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.functions import text as tx
-from incipit.operators import controls, layout, retrieval, skill, stats, structure
-from incipit.plans import fixtures
-from incipit.scale import cut
+from incipit.operators import controls, retrieval, stats
+from incipit.scale import cut, shared_path
 from incipit.sources import html
 
 
@@ -116,6 +115,21 @@ def _hits(spark, sf):
     return golds, cut(retrieval.ranked_hits(golds, ranked, docs), "hits")
 
 
+def bm25_indexed(spark, sf):
+    """The ten best documents of every passage from an index that is written first and kept."""
+    path = shared_path(spark, "index")
+    retrieval.kept_index(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), path)
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return retrieval.indexed_topk(queries, path).select("qid", "rank", "doc", F.round("score", 4).alias("score"))
+
+
+def evidence_found(spark, sf):
+    """Documents that hold at least three fifths of a passage's sentence."""
+    golds = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), tx.sentences("text").alias("evidence"))
+    found = retrieval.evidence_found(golds, table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    return found.select("qid", F.col("sent").cast("long").alias("sent"), "doc", F.round("coverage", 6).alias("coverage"))
+
+
 def recall_at_k(spark, sf):
     golds, hits = _hits(spark, sf)
     return retrieval.recall_at(golds, hits).select("k", F.round("recall", 6).alias("recall"))
@@ -211,53 +225,9 @@ def bootstrap_labels(spark, sf):
     return stats.bootstrap_counts(rows, "lang")
 
 
-def _book(spark) -> DataFrame:
-    runs = spark.createDataFrame(fixtures.tiny_book(), fixtures.RUN_SCHEMA)
-    fonts = spark.createDataFrame(fixtures.FONTS, fixtures.FONT_SCHEMA)
-    return cut(layout.group_lines(cut(layout.measured(runs, fonts))), "book-lines")
-
-
-def layout_blocks(spark, sf):
-    """Repaired blocks of the fixture book."""
-    blocks, _ = layout.build_blocks(_book(spark))
-    return blocks.select(F.col("block_no").cast("int").alias("block_no"), "kind", "text", "page", "size")
-
-
-def layout_report(spark, sf):
-    _, r = layout.build_blocks(_book(spark))
-    return r.select("figure_runs_removed", "header_lines_removed", "page_number_offset", "code_blocks", "ligatures_expanded", "hyphen_joins", "hyphens_kept", "kerning_joins", "body_size")
-
-
-def structure_sections(spark, sf):
-    """Chapters (section 0) and sections of the fixture book."""
-    blocks, _ = layout.build_blocks(_book(spark))
-    found = structure.detect(blocks)
-    heads = structure.chapters(found).select("chapter_no", F.lit(0).alias("section_no"), "number", "title", "page")
-    return heads.unionByName(structure.sections(found).select("chapter_no", "section_no", "number", "title", "page")).select(F.col("chapter_no").cast("int").alias("chapter_no"), F.col("section_no").cast("int").alias("section_no"), "number", "title", "page")
-
-
-def extract_references(spark, sf):
-    """The extract of each chapter of the fixture book."""
-    blocks, _ = layout.build_blocks(_book(spark))
-    return skill.references(structure.detect(blocks)).select("chapter", "file", "markdown", "words", "prose_words")
-
-
-def scalar_answers(spark, sf):
-    """Known answers of scalar functions."""
-    df = spark.createDataFrame(fixtures.SCALARS, "k int, x string")
-    edge = tx.edge_number("x")
-    return df.select("k", tx.slugify("x").alias("slug"), tx.roman_to_int("x").alias("roman"), edge["kind"].alias("edge_kind"), edge["number"].alias("edge_number"), F.array_join(tx.tokenize("x"), " ").alias("tokens"), tx.asciidoc_term("x").alias("asciidoc_term"))
-
-
-def forward_anchor(spark, sf):
-    b = spark.createDataFrame(fixtures.ANCHORED, "chapter string, block_no int, raw string, prose string")
-    return controls.forward_anchors(b, r"\(\(([^()]*)\)\)").select("chapter", "block_no", "entry", "paragraph")
-
-
 QUERIES = {f.__name__: f for f in (
     bm25_topk, tokens, sentence_split, defining_sentences, evidence_coverage, evidence_thresholds, recall_at_k, recall_at_words, chunk_pack, tfidf_terms, distinctive_topics, vocab_df, token_f1, prf_words, kappa_labels, split_hash, slugs,
-    prose_words, random_control, repeated_edge_lines, html_chapters, fidelity_turns, bootstrap_labels,
-    layout_blocks, layout_report, structure_sections, extract_references, scalar_answers, forward_anchor,
+    prose_words, random_control, repeated_edge_lines, html_chapters, fidelity_turns, bootstrap_labels, bm25_indexed, evidence_found,
 )}
 
 SENTS = f"select doc_id, unnest(range(1, len(s) + 1)) as i, s from (select doc_id, {sql_sentences('text')} as s from documents)"
@@ -273,22 +243,10 @@ LINE = "regexp_replace(regexp_replace(x, '^From \\*[^*\\n]+\\*:\\s*', ''), '^\\s
 PROSE = f"list_transform(list_filter(list_transform(string_split({BARE}, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '^(#|\\||Source pages |Open this file for questions about:)')), lambda x: {LINE})"
 
 
-
-def values(rows: list[tuple], names: str) -> str:
-    """Known answers as SQL."""
-    lit = lambda v: "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) as t({names})"
-
-
 ORACLES = {
-    "layout_blocks": values(fixtures.BLOCKS, "block_no, kind, text, page, size").replace("select *", "select block_no, kind, text, page, size::double as size"),
-    "layout_report": "select 1 as figure_runs_removed, 4 as header_lines_removed, 0 as page_number_offset, 1 as code_blocks, 3 as ligatures_expanded, 2 as hyphen_joins, 1 as hyphens_kept, 1 as kerning_joins, 10.0::double as body_size",
-    "structure_sections": values([(1, 0, "", "A Tiny Book", 0), (2, 0, "1", "Getting Started", 2), (2, 1, "1.1", "First Section", 2), (2, 2, "1.2", "Second Section", 3), (3, 0, "2", "Next Steps", 4), (3, 1, "2.1", "More", 4), (3, 2, "2.2", "Last", 5)], "chapter_no, section_no, number, title, page"),
-    "scalar_answers": values(fixtures.SCALAR_ANSWERS, "k, slug, roman, edge_kind, edge_number, tokens, asciidoc_term"),
-    "forward_anchor": f"""with b as ({values(fixtures.ANCHORED, 'chapter, block_no, raw, prose')}),
-      p as (select *, first_value(case when {"len(list_filter(regexp_split_to_array(prose, '\\s+'), lambda x: x <> ''))"} >= 5 then prose end ignore nulls) over (partition by chapter order by block_no rows between current row and unbounded following) as paragraph from b)
-      select chapter, block_no, unnest(regexp_extract_all(raw, '\\(\\(([^()]*)\\)\\)', 1)) as entry, paragraph from p where paragraph is not null""",
     "bm25_topk": f"with {BM25} select qid, rank, doc, round(score, 4) as score from ranked where rank <= 10",
+    "bm25_indexed": f"with {BM25} select qid, rank, doc, round(score, 4) as score from ranked where rank <= 10",
+    "evidence_found": f"with {GOLD}, ug as ({sql_grams('documents', 'doc_id', 'text')}) select qid, sent - 1 as sent, doc_id as doc, round(k / n, 6) as coverage from (select qid, sent, n, doc_id, count(*)::double as k from gold join ug using (gram) group by all) where k >= 0.6 * n",
     "tokens": f"with t as ({sql_tokens('documents', 'doc_id', 'text')}) select d.doc_id, count(tok) as n, count(distinct tok) as distinct_tokens from documents d left join t using (doc_id) group by 1",
     "sentence_split": f"select doc_id, len(s)::bigint as n, md5(array_to_string(s, '|')) as digest from (select doc_id, {sql_sentences('text')} as s from documents)",
     "defining_sentences": f"""with s as ({SENTS}) select doc_id, sum(case when regexp_matches(s[i], '(?i)\\b(?:is called|are called|is known as|are known as|we call|refers? to|is defined as|are defined as|is a (?:\\w+ ){{0,3}}(?:that|which|used)|means that|is short for|stands for)\\b') then 1 else 0 end)::bigint as defining, count(*) as n from s group by 1""",

@@ -84,12 +84,18 @@ SQL_ASCLINES = f"list_filter(list_transform(string_split({SQL_ASC}, chr(10)), la
 SQL_ASCTEXT = sql_squeezed(sql_rules(f"array_to_string(list_transform({SQL_ASCLINES}, lambda s: regexp_replace(s, '^[*.]+\\s+', '')), ' ')", tx.ASCIIDOC_RULES))
 
 
+#: Letters to what they are taken apart into: marks in and out of order, letters of Korean, and one that composes with nothing.
+APART = {"é": "e\u0301", "ü": "u\u0308", "ä": "a\u0308", "ñ": "n\u0303", "ß": "ß\u0323\u0307", "the": "th\u1ebf\u0323", "en": "\u1112\u1161\u11ab", "ing": "i\u0307\u0323ng"}
+
+
 def index_terms(spark, sf):
-    """Index entries made of three words of each document, and the spellings that are looked up."""
-    w = table(spark, sf, "documents").select("doc_id", ascii_words().alias("w")).where(F.size("w") >= 3).select("doc_id", *[F.col("w")[k].alias(f"w{k + 1}") for k in range(3)])
+    """Index entries made of every three words of each document, and the spellings that are looked up."""
+    w = table(spark, sf, "documents").select("doc_id", ascii_words().alias("w")).where(F.size("w") >= 3)
+    at = F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)
+    w = w.select("doc_id", F.explode(F.transform(at, lambda k: F.struct(k.alias("k"), *[F.get("w", 3 * k + j).alias(f"w{j + 1}") for j in range(3)]))).alias("x")).select("doc_id", "x.*")
     entry = F.concat("w1", F.lit("!k@{\\bf "), "w2", F.lit("}|see{"), "w3", F.lit("}"))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
-    return w.select("doc_id", tx.latex_term(entry).alias("latex"), tx.asciidoc_term(F.concat_ws(", ", "w1", "w2")).alias("asciidoc"), joined(tx.index_variants("w1")).alias("index_variants"), joined(tx.term_variants("w1")).alias("term_variants"))
+    return w.select("doc_id", "k", tx.latex_term(entry).alias("latex"), tx.asciidoc_term(F.concat_ws(", ", "w1", "w2")).alias("asciidoc"), joined(tx.index_variants("w1")).alias("index_variants"), joined(tx.term_variants("w1")).alias("term_variants"))
 
 
 def heading_numbers(spark, sf):
@@ -174,10 +180,10 @@ def code_found(spark, sf):
 
 
 def answers_summary(spark, sf):
-    """Conversations as outcomes of the model arm: turns are conditions, every outcome is given twice."""
-    c = table(spark, sf, "conversations").where("turn < 4 and text is not null")
-    o = c.select(F.col("turn").alias("ord"), F.col("conv_id").alias("qid"), F.lit("skill").alias("skill_variant"), F.element_at(F.array(*map(F.lit, model_arm.CONDITIONS)), (F.col("turn") + 1).cast("int")).alias("condition"), (F.length("text") % 2 == 0).alias("correct"), ((F.length("text") % 8) / 8).alias("f1"), (F.length("text") % 3 == 0).alias("routed_ok"), (F.length("text") % 5 == 0).alias("routed_to_gold_chapter"))
-    twice = o.withColumn("ord", F.col("ord") - 10).withColumn("correct", ~F.col("correct")).unionByName(o)
+    """Conversations as outcomes of the model arm: turns are conditions, four by four, every outcome is given twice."""
+    c = table(spark, sf, "conversations").where("text is not null and turn is not null")
+    o = c.select(F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 4)).alias("qid"), F.lit("skill").alias("skill_variant"), F.element_at(F.array(*map(F.lit, model_arm.CONDITIONS)), (F.col("turn") % 4 + 1).cast("int")).alias("condition"), (F.length("text") % 2 == 0).alias("correct"), ((F.length("text") % 8) / 8).alias("f1"), (F.length("text") % 3 == 0).alias("routed_ok"), (F.length("text") % 5 == 0).alias("routed_to_gold_chapter"))
+    twice = o.withColumn("ord", F.col("ord") - 1000).withColumn("correct", ~F.col("correct")).unionByName(o)
     return model_arm.outcomes_summary(twice).select("condition", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1", "routed_ok", "routed_to_gold", "diff_rag")])
 
 
@@ -201,9 +207,27 @@ def term_said(spark, sf):
 
 
 def call_plan(spark, sf):
-    n = table(spark, sf, "conversations").agg(F.countDistinct("conv_id").alias("c"), F.count("*").alias("q")).first()
-    plan = model_arm.calls(n.c, n.q)
-    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in plan.items()])
+    """Conversations as chapters of a book for each last digit, turns as its questions."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("book"), "conv_id")
+    return model_arm.call_plan(c.groupBy("book").agg(F.countDistinct("conv_id").alias("chapters"), F.count("*").alias("questions")))
+
+
+def included_files(spark, sf):
+    """Documents as files of an edition, of which every fourth line includes another: in other folders, missing, outside, or itself."""
+    d = table(spark, sf, "documents").where("text is not null")
+    name = lambda i: F.concat(F.lit("part"), i % 5, F.lit("/"), i, F.lit(".asc"))
+    target = lambda k: F.when((k + F.col("doc_id")) % 7 == 0, F.concat(F.col("doc_id"), F.lit(".asc"))).when(k % 3 == 0, F.concat(F.lit("../"), name(3 * F.col("doc_id") + 1 + k % 2))).when(k % 3 == 1, F.lit("../../outside.asc")).otherwise(F.concat(F.lit("./../part0/../"), name(3 * F.col("doc_id") + 2)))
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, k: F.when(k % 4 == 1, F.concat(F.lit("include::"), target(k), F.lit("[] "), x)).otherwise(x)), "\n")
+    files = cut(d.select(name(F.col("doc_id")).alias("path"), text.alias("text")), "files")
+    return markup.expanded(files, files.select("path")).select("path", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+def composed_texts(spark, sf):
+    """Documents with letters taken apart, marks out of order among them, in composed form."""
+    t = F.col("text")
+    for a, b in APART.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.nfc(t)).alias("digest"), F.length(tx.nfc(t)).alias("chars"))
 
 
 def rag_contexts(spark, sf):
@@ -214,10 +238,16 @@ def rag_contexts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     index_sentences, sentence_with_term, fidelity_tokens, markup_texts, index_terms, heading_numbers, names, search_questions, replies, prompts, markdown_parts, latex_glossaries, asciidoc_index, defect_counts, code_found, answers_summary, cached_replies,
-    chapters_cut, term_said, call_plan, rag_contexts,
+    chapters_cut, term_said, call_plan, rag_contexts, included_files, composed_texts,
 )}
 
-W3 = "(select doc_id, w[1] as w1, w[2] as w2, w[3] as w3 from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents) where len(w) >= 3)"
+def apart_sql(text: str) -> str:
+    for a, b in APART.items():
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+W3 = "(select doc_id, k, w[3 * k + 1] as w1, w[3 * k + 2] as w2, w[3 * k + 3] as w3 from (select doc_id, w, unnest(range(len(w) // 3)) as k from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents)))"
 SQL_SLUG64 = f"case when regexp_replace({SLUG}[1:64], '-+$', '') = '' then 'untitled' else regexp_replace({SLUG}[1:64], '-+$', '') end"
 SQL_SLUG40 = SQL_SLUG64.replace("1:64", "1:40")
 SQL_PIECE = "trim(regexp_replace(text, '[^A-Za-z0-9.,]+', ' ', 'g'))"
@@ -233,7 +263,7 @@ ORACLES = {
     "fidelity_tokens": """with t as (select doc_id, regexp_extract_all(translate(text, '‘’“”–—−' || chr(160) || '•', '''''""---  '), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]') as t from documents)
       select doc_id, len(t)::bigint as n, md5(array_to_string(t, ' ')) as digest from t""",
     "markup_texts": f"select doc_id, md5({SQL_DETEX}) as tex, md5({SQL_ASCTEXT}) as asciidoc from documents",
-    "index_terms": f"""select doc_id, case when regexp_matches(w2 || ' ' || w1, '[A-Za-z]{{2}}') then w2 || ' ' || w1 else '' end as latex, w2 || ' ' || w1 as asciidoc,
+    "index_terms": f"""select doc_id, k::int as k, case when regexp_matches(w2 || ' ' || w1, '[A-Za-z]{{2}}') then w2 || ' ' || w1 else '' end as latex, w2 || ' ' || w1 as asciidoc,
       array_to_string(list_sort(list_distinct([lower(w1), regexp_replace(lower(w1), 's+$', ''), lower(w1) || 's'] || case when ends_with(lower(w1), 'ies') then [regexp_replace(lower(w1), 'ies$', 'y')] else [] end)), ',') as index_variants,
       array_to_string(list_sort([lower(w1), lower(w1) || 's', lower(w1) || 'es'] || case when ends_with(lower(w1), 'y') then [regexp_replace(lower(w1), 'y$', 'ies')] else [] end), ',') as term_variants from {W3}""",
     "heading_numbers": f"""with d as (select doc_id, {SQL_LINE1} as line from documents) select doc_id, case when doc_id % 3 = 0 then '' else doc_id::varchar end as hevea, case when doc_id % 3 = 0 then doc_id || '  ' || line else trim(regexp_replace(line, '^\\s+', '')) end as hevea_title,
@@ -265,14 +295,22 @@ ORACLES = {
       l as (select id, w as word, count(*) as times from (select id, unnest(regexp_extract_all(lower(t), '[a-z]+')) as w from t) where length(w) >= 7 and w not in (select word from v) group by all),
       c as (select distinct id, word, times from (select *, unnest(range(3, length(word) - 2)) as k from l) where word[1:k] in (select word from v) and word[k + 1:] in (select word from v)), g as (select id, sum(times)::bigint as glued from c group by 1)
       select id, 1::bigint as ligature_glyphs, coalesce(broken, 0) as broken_hyphenations, coalesce(glued, 0)::bigint as glued_words from t left join x using (id) left join g using (id)""",
-    "answers_summary": """with o as (select conv_id, turn, length(text) as n from conversations where turn < 4 and text is not null), r as (select conv_id, (n % 2 = 0)::int as r from o where turn = 1)
+    "answers_summary": """with o as (select conv_id * 1000 + turn // 4 as conv_id, turn % 4 as turn, length(text) as n from conversations where text is not null and turn is not null), r as (select conv_id, (n % 2 = 0)::int as r from o where turn = 1)
       select ['closed_book', 'rag', 'skill', 'both'][turn + 1] as condition, count(*) as n, round(avg((n % 2 = 0)::int), 6) as accuracy, round(avg((n % 8) / 8), 6) as f1, round(avg((n % 3 = 0)::int), 6) as routed_ok, round(avg((n % 5 = 0)::int), 6) as routed_to_gold, round(avg((n % 2 = 0)::int - r), 6) as diff_rag from o left join r using (conv_id) group by 1""",
     "cached_replies": "select item_id, reverse(text) as response, hit from benchmark, (select unnest([false, true]) as hit) where text is not null",
     "chapters_cut": f"""with c as (select conv_id, turn, coalesce(text, '') as t, {NW.format("coalesce(text, '')")} as n from conversations), u as (select *, sum(n) over (partition by conv_id order by turn) <= 60 as fits from c)
       select conv_id as chapter, md5(coalesce(string_agg(t, chr(10) || chr(10) order by turn) filter (where fits), '')) as digest, sum(n)::bigint as words, coalesce(sum(n) filter (where fits), 0)::bigint as kept_words, coalesce(sum(n) filter (where fits), 0) < sum(n) as truncated from u group by 1""",
     "term_said": """with d as (select doc_id, text, lag(regexp_extract_all(text, '[A-Za-z]+')[1]) over (partition by source order by doc_id) as term from documents)
       select doc_id as qid, coalesce(regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || lower(term)), false) as mentioned from d where term is not null""",
-    "call_plan": "select c as chapters, q as questions, 20::bigint as per_question, c + 20 * q as total from (select count(distinct conv_id) as c, count(*) as q from conversations)",
+    "call_plan": "select conv_id % 10 as book, count(distinct conv_id) as chapters, count(*) as questions, 20::bigint as per_question, count(distinct conv_id) + 20 * count(*) as total from conversations group by 1",
+    "included_files": """
+with recursive lines as (select doc_id, k, l[k + 1] as x, k = len(l) - 1 as last from (select doc_id, l, unnest(range(0, len(l))) as k from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null))),
+ inc as (select *, k % 4 = 1 as has, case when k % 4 <> 1 then null when (k + doc_id) % 7 = 0 then doc_id when k % 3 = 0 then 3 * doc_id + 1 + k % 2 when k % 3 = 1 then null else 3 * doc_id + 2 end as target from lines),
+ r as (select doc_id as top, doc_id as file, [doc_id] as within, []::bigint[] as place from documents where text is not null
+   union all select r.top, i.target, list_append(r.within, i.target), list_append(list_append(r.place, i.k::bigint), 0) from r join inc i on i.doc_id = r.file join documents d on d.doc_id = i.target where d.text is not null and not list_contains(r.within, i.target)),
+ t as (select r.top, list_append(list_append(r.place, i.k::bigint), 1) as place, case when has then ' ' else '' end || x || case when last then '' else chr(10) end as t from r join inc i on i.doc_id = r.file)
+ select 'part' || (top % 5) || '/' || top || '.asc' as path, length(string_agg(t, '' order by place))::int as chars, md5(string_agg(t, '' order by place)) as digest from t group by top""",
+    "composed_texts": "select doc_id, md5(nfc_normalize(t)) as digest, length(nfc_normalize(t))::int as chars from (select doc_id, " + apart_sql("text") + " as t from documents)",
     "rag_contexts": "select conv_id as qid, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn)) as digest from conversations where text is not null and turn < 5 group by 1",
     "code_found": """with l as (select doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents), m as (select lang, doc_id % 3 <> 0 or len(list_distinct(l)) = 1 or (l = list_reverse(l)) as found from l where len(l) > 1)
       select lang as id, count(*) as blocks, count(*) as indented_blocks, round(avg(found::int), 4) as exact, round(avg(found::int), 4) as exact_indented from m group by 1""",

@@ -41,13 +41,55 @@ def test_latex(spark):
 
 def test_asciidoc(spark):
     files = {"ch.asc": "== Basics\n\ninclude::a.asc[]\n", "a.asc": "(((git commands, add)))(((staging)))\nYou stage files with `git add` before a commit.\n\n----\n(((not,this)))\n----\n"}
-    text = markup.expanded("ch.asc", files.get)
-    assert "git add" in text and markup.expanded("missing.asc", files.get) == ""
+    made = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r.path: r.text for r in markup.expanded(made, spark.createDataFrame([("ch.asc",), ("missing.asc",)], "path string")).collect()}
+    text = got["ch.asc"]
+    assert text == files["ch.asc"].replace("include::a.asc[]", files["a.asc"]) and "missing.asc" not in got
     a = markup.asciidoc_anchors(spark.createDataFrame([("2", text)], "chapter string, text string")).orderBy("ord").collect()
     assert [(x.term, x.chapter_title) for x in a] == [("git add", "Basics"), ("staging", "Basics")]
     assert a[0].paragraph == "You stage files with git add before a commit."
 
 
+def test_includes(spark):
+    """Against a recursion in Python: nested, repeated, up and down folders, missing, outside the edition, and in a circle."""
+    import posixpath
+    import re
+
+    files = {
+        "book/top.asc": "a\ninclude::ch/one.asc[] tail\ninclude::ch/one.asc[]\n include::ch/two.asc[]\ninclude::../shared/x.asc[]\n", "book/ch/one.asc": "one\ninclude::../../shared/x.asc[]\nend", "book/ch/two.asc": "two", "shared/x.asc": "x\ninclude::/abs.asc[]\ninclude::gone.asc[]\n",
+        "abs.asc": "never", "out.asc": "include::../../etc/passwd[]after\ninclude::./a/../shared/./x.asc[]", "circle.asc": "c\ninclude::round.asc[]\n", "round.asc": "r\ninclude::circle.asc[]\ninclude::round.asc[]z", "empty.asc": "",
+    }
+
+    def whole(name, within=()):
+        def one(m):
+            at = posixpath.normpath(posixpath.join(posixpath.dirname(name), m[1]))
+            return whole(at, (*within, name)) if at in files and at not in (*within, name) and not m[1].startswith("/") else ""
+
+        return re.sub(r"(?m)^include::([^\[]+)\[\]", one, files[name])
+
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r.path: r.text for r in markup.expanded(df, df.select("path")).collect()}
+    assert got == {name: whole(name) for name in files}
+    tops = spark.createDataFrame([("b", "book/top.asc", "include::ch01-a.asc[]\ninclude::x/ch12-b.asc[]\ninclude::A-app.asc[]\ninclude::intro.asc[]\ninclude::../../ch9-z.asc[]")], "book string, path string, text string")
+    assert [(r.number, r.path) for r in markup.chapter_files(tops).orderBy("ord").collect()] == [("1", "book/ch01-a.asc"), ("12", "book/x/ch12-b.asc"), ("A", "book/A-app.asc")]
+
+
+def test_composed_form(spark):
+    """Against Python's, over every character alone, after a letter, and before marks."""
+    import unicodedata
+
+    from incipit.functions import text as tx
+
+    marks = "\u0301\u0308\u0323\u0345\u3099\u1161\u11a8"
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c} a{c}|" for c in chars[k : k + 64]) for k in range(0, len(chars), 64)] + [f"{c}{m}" for c in chars[0x40:0x3100] for m in marks[:2]] + [c + marks for c in chars[0x40:0x250]] + ["", None, "plain"]
+    # A text of its own for each character whose composed form differs.
+    texts += [c for c in chars if unicodedata.normalize("NFC", c) != c]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("k", tx.nfc("t").alias("t")).collect():
+        assert r.t == (None if texts[r.k] is None else unicodedata.normalize("NFC", texts[r.k])), texts[r.k]
+
+
 def test_filter_and_kept(spark):
     items = spark.createDataFrame([("q1", "1", "index", ["alpha beta gamma delta", "not in the text at all"], "alpha beta gamma delta"), ("q2", "1", "index", ["nothing of this here"], "nothing of this here")], "qid string, chapter string, kind string, evidence array<string>, gold_sentence string")
     got = evaluation.filter_to_text(items, spark.createDataFrame([("1", "x alpha beta gamma delta y")], "chapter string, text string")).collect()
