@@ -12,7 +12,8 @@ links is one component and needs no more pairs, so a family of near copies costs
 of different components are left in a key, those of up to `pair_limit` classes are paired between components. Crowded ones (a
 passage that many texts share) are compared by their rarest shingles instead: two linked sets share one of the first
 n - ceil(t n) + 1 of each, in the order of document frequency. Groups by rare shingle are treated alike, and what is still
-crowded and of several components is paired between them. Every pair is first held to the Hamming distance of two dense
+crowded and of several components is paired between them, once a pair and only where it could link: a set shares none of
+the shingles that no other of the compared sets has, which rules out most pairs of near copies of near copies. Every pair is first held to the Hamming distance of two dense
 sketches of some bits for each difference that is allowed, and what is left is verified by exact intersection. No link is
 lost on any way.
 
@@ -289,7 +290,8 @@ def across(groups: DataFrame) -> DataFrame:
 
 
 def by_rare_shingles(docs: DataFrame, classes: DataFrame, crowded: DataFrame, rule: Rule) -> DataFrame:
-    """key (a shingle's hash), c: the shingles among each class's rarest of which linked sets must share one."""
+    """key (a shingle's hash), c: the shingles among each class's rarest of which linked sets must share one; with n, the size of
+    the set, and shared, how many of its shingles any other of these sets has."""
     sets = sets_of(docs, classes.join(crowded.select("c").distinct(), "c"), rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +304,21 @@ def by_rare_shingles(docs: DataFrame, classes: DataFrame, crowded: DataFrame, ru
     shared = tokens.join(tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
     # Shingles of one set only are the rarest, and meet nothing: they are counted as places before the shared ones.
     of_set = Window.partitionBy("c")
-    place = F.row_number().over(of_set.orderBy("df", "key")) + F.col("n") - F.count("*").over(of_set)
+    shared = shared.withColumns({"shared": F.count("*").over(of_set), "place": F.row_number().over(of_set.orderBy("df", "key"))})
     most = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1
-    return shared.select("key", "c", (place <= most).alias("first")).where("first").select("key", "c")
+    return shared.where(F.col("place") + F.col("n") - F.col("shared") <= most).select("key", "c", "n", "shared")
+
+
+def across_rare(groups: DataFrame, rare: DataFrame, rule: Rule) -> DataFrame:
+    """across() for groups by rare shingle: a pair comes once, from the first shingle both have, and only if what others share of it
+    would be enough."""
+    facts = rare.groupBy("c").agg(F.first("n").alias("n"), F.first("shared").alias("s"), F.array_sort(F.collect_list("key")).alias("keys"))  # a class's rarest shingles
+    rows = groups.select("key", "c", "root").join(facts, "c")
+    a, b = (rows.select("key", F.col("c").alias(x), *[F.col(f).alias(f"{f}_{x}") for f in ("root", "n", "s", "keys")]) for x in ("u", "v"))
+    both, sizes = F.least("s_u", "s_v"), F.col("n_u") + F.col("n_v")
+    could = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & (rule.den * both >= rule.num * (sizes - both))
+    first = F.array_min(F.array_intersect("keys_u", "keys_v")) == a["key"]
+    return a.join(b, (a["key"] == b["key"]) & could & first).select("u", "v")
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rule: Rule, pair_limit: int) -> DataFrame:
@@ -317,14 +331,15 @@ def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rul
     if groups.isEmpty():
         return roots
     crowded, pairs = groups.where(F.col("n") > pair_limit), across(groups.where(F.col("n") <= pair_limit))
-    rare = cut(several(by_rare_shingles(docs, classes, crowded, rule), roots), "jaccard-rare")
+    shingles = cut(by_rare_shingles(docs, classes, crowded, rule), "jaccard-rarest")
+    rare = cut(several(shingles, roots), "jaccard-rare")
     pairs = pairs.unionByName(across(rare.where(F.col("n") <= pair_limit))).unionByName(stars(rare.where(F.col("n") > pair_limit))).distinct()
     edges = edges.unionByName(verified(pairs, docs, classes, filed, rule))
     roots = cut(components(edges), "jaccard-roots")
     rare = cut(several(rare.where(F.col("n") > pair_limit), roots), "jaccard-rest")
     if rare.isEmpty():
         return roots
-    return components(edges.unionByName(verified(across(rare), docs, classes, filed, rule)))
+    return components(edges.unionByName(verified(across_rare(rare, shingles, rule), docs, classes, filed, rule)))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), pair_limit: int = 16) -> DataFrame:
