@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.functions import text as tx
-from incipit.scale import cut
+from incipit.operators import retrieval, stats
+from incipit.scale import cut, exists
 
 CONDITIONS = ("closed_book", "rag", "skill", "both")
 REPLY = "key string, model string, system string, prompt string, options string, response string"
@@ -38,30 +41,35 @@ def keyed(requests: DataFrame) -> DataFrame:
     return requests.withColumn("key", key("model", "system", "prompt", "options"))
 
 
+def cached(spark, cache: str, keys: DataFrame) -> DataFrame:
+    """key, response of those keys that the cache has; of several replies to one request the first that was committed counts."""
+    if not exists(spark, f"{cache}/_SUCCESS"):
+        return spark.createDataFrame([], "key string, response string")
+    known = spark.read.schema(REPLY + ", at string, shard string").parquet(cache).join(keys.select("key"), "key", "left_semi")
+    return known.groupBy("key").agg(F.min(F.struct("at", "response")).alias("m")).select("key", "m.response")
+
+
 def generate(requests: DataFrame, cache: str, transport: Callable[[str, str, str, dict], str]) -> DataFrame:
-    """requests with response and hit (was it cached?). New replies are appended to the cache, a Parquet table by the key's first digits.
+    """requests with response and hit (was it cached?). New replies go to the cache, a Parquet table by the key's first digits.
 
-    transport(model, system, prompt, options) runs in the tasks; what it raises fails the job, and replies of finished runs stay.
+    transport(model, system, prompt, options) runs in the tasks; what it raises fails the job, and replies of finished runs
+    stay. Two runs at once may both ask for a reply; both then return, and every later run too, the one of the first.
     """
     spark = requests.sparkSession
     asked = cut(keyed(requests), "requests")
-    try:
-        known = spark.read.schema(REPLY + ", shard string").parquet(cache)
-        known.limit(1).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = spark.createDataFrame([], REPLY + ", shard string")
-    misses = asked.select("key", "model", "system", "prompt", "options").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+    keys = cut(asked.select("key").distinct(), "keys")
+    seen = cut(cached(spark, cache, keys), "cached")
+    misses = asked.select("key", "model", "system", "prompt", "options").dropDuplicates(["key"]).join(seen.select("key"), "key", "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(response=[transport(r.model, r.system, r.prompt, json.loads(r.options)) for r in pdf.itertuples()])
 
     fresh = cut(misses.mapInPandas(call, REPLY), "replies")
-    seen = cut(known.select("key", "response").join(asked.select("key").distinct(), "key", "left_semi").withColumn("hit", F.lit(True)), "cached")
-    fresh.withColumn("shard", F.substring("key", 1, 2)).write.mode("append").partitionBy("shard").parquet(cache)
-    return asked.join(seen.unionByName(fresh.select("key", "response").withColumn("hit", F.lit(False))), "key")
+    at = f"{time.time_ns():020d}-{uuid.uuid4().hex}"  # of this run: orders runs, and tells them apart
+    fresh.withColumns({"at": F.lit(at), "shard": F.substring("key", 1, 2)}).write.mode("append").partitionBy("shard").parquet(cache)
+    replies = cut(cached(spark, cache, keys), "merged")
+    return asked.join(replies, "key").join(seen.select("key", F.lit(True).alias("hit")), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def chapter_prompt(title: Column, text: Column, budget: int) -> Column:
@@ -95,6 +103,66 @@ def rag_context(ranked: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("context"))
 
 
+HEADINGS = ("When to use", "Sections", "Key definitions", "Worked examples")
+Ask = Callable[[DataFrame], DataFrame]
+
+
+def asking(model: str, cache: str, transport: Callable[[str, str, str, dict], str], system: str = "", options: str = "{}") -> Ask:
+    """A function from prompts (with any other columns) to the same rows with reply, through the cache."""
+
+    def ask(prompts: DataFrame) -> DataFrame:
+        rows = prompts.withColumns({"model": F.lit(model), "system": F.lit(system), "options": F.lit(options)})
+        return cut(generate(rows, cache, transport).withColumn("reply", F.trim("response")).drop("key", "response", "hit", "model", "system", "options", "prompt"), "asked")
+
+    return ask
+
+
+def written_skill(parts: DataFrame, budgets: DataFrame, ask: Ask, most_words: int = 9000) -> tuple[DataFrame, DataFrame]:
+    """A reference file of each chapter by a model: (chapter, title, markdown), and a report (words, budget, missing headings, truncation).
+
+    parts (chapter, title, ord, text) in order, budgets (chapter, budget).
+    """
+    titles = parts.select("chapter", "title").distinct()
+    cut_texts = truncated_chapters(parts.select("chapter", "ord", "text"), most_words)
+    rows = cut_texts.join(titles, "chapter").join(budgets, "chapter", "left").withColumn("budget", F.coalesce("budget", F.lit(600)))
+    prompt = F.concat(F.lit("Write a reference file of about "), F.col("budget").cast("string"), F.lit(" words in Markdown for an agent that has not read the chapter. Headings: " + ", ".join(HEADINGS) + ". Use only the text.\n\nChapter: "), "title", F.lit("\n\n"), "text")
+    made = ask(rows.withColumn("prompt", prompt).drop("text"))
+    missing = F.filter(F.array(*map(F.lit, HEADINGS)), lambda h: ~F.contains(F.col("reply"), h))
+    report = made.select("chapter", tx.n_words("reply").alias("words"), "budget", missing.alias("missing_headings"), "truncated", "kept_words", F.col("words").alias("chapter_words"))
+    return made.select("chapter", "title", F.concat("reply", F.lit("\n")).alias("markdown")), report
+
+
+def run_items(items: DataFrame, units: DataFrame, skills: DataFrame, indexes: DataFrame, ask: Ask, judges: list[Ask], k: int = 5) -> DataFrame:
+    """Every question under every condition, graded: outcomes as outcomes_summary() takes them, with answer and routed_file.
+
+    items (qid, chapter, term, definition), units (doc, text), skills (skill_variant, chapter, ord, file, markdown), indexes
+    (skill_variant, markdown). Closed book and retrieval do not depend on a skill and are asked once, under the variant "-".
+    The prompts of a step go out as one table, so a step is one pass through the cache and the tasks.
+    """
+    items = cut(items.select("qid", "chapter", "term", "definition", tx.reader_question("term").alias("question")), "arm-items")
+    top = retrieval.bm25_topk(items.select("qid", F.col("question").alias("query")), units, k)
+    context = cut(items.select("qid").join(rag_context(top, units, k), "qid", "left").fillna("", ["context"]), "arm-contexts")
+    files = skills.groupBy("skill_variant").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "file"))), lambda x: x["file"]).alias("files"))
+    asked = items.join(indexes.join(files, "skill_variant"), F.lit(True))  # questions by variants, a few
+    routes = ask(asked.select("qid", "chapter", "skill_variant", "files", route_prompt(F.col("markdown"), F.col("question")).alias("prompt")))
+    routes = routes.withColumn("r", tx.routed("reply", F.col("files"))).select("qid", "chapter", "skill_variant", F.col("r.file").alias("file"), F.col("r.ok").alias("routed_ok"))
+    opened = routes.join(skills.select("skill_variant", "file", "markdown", F.col("chapter").alias("of")), ["skill_variant", "file"]).join(context, "qid")
+    gold = F.coalesce(F.col("of") == F.col("chapter"), F.lit(False))
+    both = F.concat("markdown", F.lit("\n\n---\n\n"), "context")
+    row = lambda n, c, text: F.struct(F.lit(n).alias("n"), F.lit(c).alias("condition"), text.alias("text"))
+    by_skill = opened.select("qid", "skill_variant", "file", "routed_ok", gold.alias("routed_to_gold_chapter"), F.explode(F.array(row(2, "skill", F.col("markdown")), row(3, "both", both))).alias("c"))
+    alone = context.select("qid", F.lit("-").alias("skill_variant"), F.lit("").alias("file"), F.lit(True).alias("routed_ok"), F.lit(False).alias("routed_to_gold_chapter"), F.explode(F.array(row(0, "closed_book", F.lit("")), row(1, "rag", F.col("context")))).alias("c"))
+    todo = alone.unionByName(by_skill).select("qid", "skill_variant", "file", "routed_ok", "routed_to_gold_chapter", "c.*").join(items.drop("chapter"), "qid")
+    answers = ask(todo.withColumn("prompt", answer_prompt(F.col("text"), F.col("question"))).drop("text")).withColumnRenamed("reply", "answer")
+    graded = stats.token_f1(answers, "answer", "definition")
+    for n, judge in enumerate(judges):
+        said = judge(graded.withColumn("prompt", judge_prompt(F.col("question"), F.col("definition"), F.col("answer"))))
+        graded = said.withColumn("correct" if n == 0 else "correct_second_judge", tx.says_correct("reply")).drop("reply")
+    if len(judges) < 2:
+        graded = graded.withColumn("correct_second_judge", F.lit(None).cast("boolean"))
+    return graded.select(F.col("n").cast("long").alias("ord"), "qid", "skill_variant", "condition", "answer", "correct", "f1", F.col("file").alias("routed_file"), "routed_ok", "routed_to_gold_chapter", "correct_second_judge")
+
+
 def calls(chapters: int, questions: int, variants: int = 2, judges: int = 2) -> dict[str, int]:
     """Planned requests: a chapter once, and for each question closed book and retrieval, and route and two answers a variant, all judged."""
     per = (2 + 3 * variants) + (2 + 2 * variants) * judges

@@ -55,6 +55,11 @@ def dropped(spark: SparkSession, path: str) -> None:
     _on(spark, path, "delete", True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its rows, and then the sum of their bytes as JSON, prove it small, else unmarked: the join then shuffles.
 
