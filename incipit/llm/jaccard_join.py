@@ -7,7 +7,7 @@ sets of a space link, their symmetric difference is at most D (from the threshol
 D + 1 + Z parts at least Z + 1 parts agree in all bits. Parts without any bit say little and would meet in large groups: a
 set with at most Z of them leaves them out, since some other part must then agree; only sets with more of them file them too.
 
-Work is on distinct sequences of words (copies are one class). In each key all classes are first compared with the smallest one; what that
+Work is on distinct sequences of words (copies are one class). In each key all classes are first compared with one of them; what that
 links is one component and needs no more pairs, so a family of near copies costs about a pair for each member. Where classes
 of different components are left in a key, those of up to `pair_limit` classes are paired between components. Crowded ones (a
 passage that many texts share) are compared by their rarest shingles instead: two linked sets share one of the first
@@ -83,7 +83,7 @@ class Words(dict):
         return h
 
     def bounded(self) -> Words:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         return self
 
@@ -188,22 +188,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, known_rows: int = 300_000) -> DataFrame:
-    """c, text: a row for each of the classes (c, digest, least, rows)."""
+    """c, digest, text: the rows of the classes' doc_ids (c, digest, least, rows). Those of other words, which repeat a doc_id, are
+    told by their digest; where several rows have the class's words, one of them comes with a null digest."""
     asked = small(cut(classes.select(F.col("least").alias("_least"), "c", "digest", "rows"), "jaccard-asked"), known_rows)
     texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows that share a doc_id may differ in their words
-            keep = [k for k in range(batch.num_rows) if digest(batch.column(3)[k].as_py()) == batch.column(1)[k].as_py()]
-            yield batch.take(pa.array(keep, pa.int64())).select(["c", "rows", "text"])
-
-    def own(some: str) -> DataFrame:
-        return texts.where(some).select("c", "digest", "rows", "text").mapInArrow(run, "c long, rows long, text string")
+        for batch in batches:
+            keep = [k for k in range(batch.num_rows) if digest(batch.column(2)[k].as_py()) == batch.column(1)[k].as_py()]
+            yield batch.take(pa.array(keep, pa.int64())).select(["c", "text"])
 
+    once = texts.where("rows = 1").select("c", "digest", "text")
     if asked.where("rows > 1").isEmpty():
-        return own("rows = 1").select("c", "text")
-    # Several rows of a class's doc_id may have its words: one of them is taken.
-    return own("rows = 1").select("c", "text").unionByName(own("rows > 1").groupBy("c").agg(F.min("text").alias("text")))
+        return once
+    again = texts.where("rows > 1").select("c", "digest", "text").mapInArrow(run, "c long, text string").groupBy("c").agg(F.min("text").alias("text"))
+    return once.unionByName(again.select("c", F.lit(None).cast("binary").alias("digest"), "text"))
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, filed: bool = False) -> DataFrame:
@@ -215,8 +214,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Rule, filed: bool = False
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), rule.words, known) for t in part.column(1)]
-                c = part.column(0)
+                digests, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
+                keep = [k for k, d in enumerate(digests) if d is None or digest(texts[k]) == d]
+                sets = [shingle_set(texts[k], rule.words, known) for k in keep]
+                c = part.column(0).take(pa.array(keep, pa.int64()))
                 if filed:
                     found = [keys(h, bands) for h in sets]
                     offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
@@ -271,15 +272,18 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, filed: DataF
 
 
 def several(groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """The groups (key, c) that meet more than one component: key, c, root, and the group's size n and smallest class."""
-    groups = groups.select("key", "c")
+    """The groups (key, c) that meet more than one component: key, c, root, and the group's size n and its middle, `least`: the
+    class that is least `away`, where groups have that, else the smallest."""
+    away = [c for c in groups.columns if c == "away"]
+    groups = groups.select("key", "c", *away)
     groups = groups.withColumn("root", F.col("c")) if roots is None else groups.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("c").alias("least"))
+    middle = F.min(F.struct("away", "c"))["c"] if away else F.min("c")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), middle.alias("least"))
     return groups.join(sizes.where("r0 <> r1").select("key", "n", "least"), "key")
 
 
 def stars(groups: DataFrame) -> DataFrame:
-    """Each class of a group with the group's smallest."""
+    """Each class of a group with the group's middle."""
     return groups.where("c <> least").select(F.col("least").alias("u"), F.col("c").alias("v")).distinct()
 
 
@@ -332,11 +336,13 @@ def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rul
         return roots
     crowded, pairs = groups.where(F.col("n") > pair_limit), across(groups.where(F.col("n") <= pair_limit))
     shingles = cut(by_rare_shingles(docs, classes, crowded, rule), "jaccard-rarest")
-    rare = cut(several(shingles, roots), "jaccard-rare")
+    # Of near copies of one text, the one with the fewest shingles of its own is nearest to all others: stars go from there.
+    away = ((F.col("n") - F.col("shared")) / F.col("n")).alias("away")
+    rare = cut(several(shingles.select("key", "c", away), roots), "jaccard-rare")
     pairs = pairs.unionByName(across(rare.where(F.col("n") <= pair_limit))).unionByName(stars(rare.where(F.col("n") > pair_limit))).distinct()
     edges = edges.unionByName(verified(pairs, docs, classes, filed, rule))
     roots = cut(components(edges), "jaccard-roots")
-    rare = cut(several(rare.where(F.col("n") > pair_limit), roots), "jaccard-rest")
+    rare = cut(several(rare.where(F.col("n") > pair_limit).select("key", "c", "away"), roots), "jaccard-rest")
     if rare.isEmpty():
         return roots
     return components(edges.unionByName(verified(across_rare(rare, shingles, rule), docs, classes, filed, rule)))
