@@ -256,6 +256,8 @@ def fitted(rows: DataFrame, covered: float = COVERED, least_group: int = 50, mos
         after, to = written(now.join(new, key, "left").select(*key, "ridge", "h", *taken, falls.alias("active")), "mcd-step")
         dropped(spark, path)
         now, path = after, to
+    else:
+        raise RuntimeError(f"the determinants still fall after {most_steps} steps")
     best = now.groupBy("_group").agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("e"))
     return cut(best.select("_group", "e.centre", "e.inverse"), "mcd-estimates")
 
