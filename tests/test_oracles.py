@@ -4,11 +4,11 @@ from pathlib import Path
 
 import pytest
 
-from incipit.plans import book_queries, text_queries
+from incipit.plans import book_queries, layout_queries, queries, text_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FOUND = text_queries.QUERIES | book_queries.QUERIES
-SQL = text_queries.ORACLES | book_queries.ORACLES
+SQL = text_queries.ORACLES | book_queries.ORACLES | layout_queries.ORACLES | {n: queries.ORACLES[n] for n in ("bm25_topk", "bm25_indexed", "evidence_found", "distinctive_topics", "recall_at_words")}
+FOUND = {n: q for n, q in (queries.QUERIES | text_queries.QUERIES | book_queries.QUERIES | layout_queries.QUERIES).items() if n in SQL}
 
 
 @pytest.fixture(scope="module")
