@@ -113,7 +113,7 @@ def names(spark, sf):
 
 
 def search_questions(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "index").otherwise("glossary").alias("kind"), ascii_words()[0].alias("term"), "text")
+    b = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "index").otherwise("glossary").alias("kind"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("term"), "text")
     return b.select("item_id", F.explode(tx.search_queries(F.col("kind"), F.col("term"), F.col("text"))).alias("q")).select("item_id", "q.qtype", "q.query")
 
 
@@ -201,7 +201,7 @@ def chapters_cut(spark, sf):
 
 def term_said(spark, sf):
     """Does each document say the first word of the one before it (of its source)?"""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.lag(ascii_words()[0]).over(Window.partitionBy("source").orderBy("doc_id")).alias("term"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.lag(F.get(ascii_words(), F.lit(0))).over(Window.partitionBy("source").orderBy("doc_id")).alias("term"))
     items = d.where("term is not null").select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("chapter"), "term")
     return model_arm.term_mentioned(items, d.select(F.col("doc_id").alias("chapter"), F.col("text").alias("markdown")))
 
