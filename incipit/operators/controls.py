@@ -47,8 +47,9 @@ def forward_anchors(blocks: DataFrame, pattern: str, least_words: int = 5) -> Da
 
     blocks (chapter, block_no, raw, prose)."""
     good = F.when(tx.n_words("prose") >= least_words, F.col("prose"))
-    w = Window.partitionBy("chapter").orderBy("block_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    at = blocks.withColumn("paragraph", F.first(good, ignorenulls=True).over(w))
+    # The next is the last one seen from the end: a frame that grows is read once, one that shrinks anew for every row.
+    w = Window.partitionBy("chapter").orderBy(F.desc("block_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = blocks.withColumn("paragraph", F.last(good, ignorenulls=True).over(w))
     return at.where("paragraph is not null").select("chapter", "block_no", "paragraph", F.posexplode(F.regexp_extract_all("raw", F.lit(pattern), F.lit(1))).alias("k", "entry")).select("chapter", "block_no", "k", "entry", "paragraph")
 
 
