@@ -95,11 +95,11 @@ def whole_files(files: DataFrame) -> DataFrame:
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
-    """doc, len, terms (array of tok and tf), in one narrow pass: sorted tokens are cut into runs of one token."""
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(tx.tokenize("text")), " "), F.lit(r"(\S++)(?: \1(?!\S))*+"), F.lit(0))
-    rows = docs.select("doc", F.coalesce(runs, F.array().cast("array<string>")).alias("runs"))
-    terms = F.transform("runs", lambda r: tx.let(F.substring_index(r, " ", 1), lambda t: F.struct(t.alias("tok"), ((F.length(r) + 1) / (F.length(t) + 1)).cast("long").alias("tf"))))
-    return rows.select("doc", F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t["tf"]).cast("int").alias("len"), terms.alias("terms"))
+    """doc, len, terms (array of tok and tf), in one narrow pass: sorted tokens are cut where a new one begins."""
+    rows = docs.select("doc", F.sort_array(F.coalesce(tx.tokenize("text"), F.array().cast("array<string>"))).alias("s"))
+    begins = F.filter(F.transform("s", lambda t, k: F.when((k == 0) | (t != F.get("s", k - 1)), k)), lambda k: k.isNotNull())
+    term = lambda at: lambda k, j: F.struct(F.get("s", k).alias("tok"), (F.coalesce(F.get(at, j + 1), F.size("s")) - k).cast("long").alias("tf"))
+    return rows.select("doc", F.size("s").alias("len"), tx.let(begins, lambda at: F.transform(at, term(at))).alias("terms"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -119,16 +119,17 @@ def bm25_scores(queries: DataFrame, docs: DataFrame | None, k1: float = K1, b: f
     if index is None:
         rows = cut(term_rows(docs), "bm25-terms")
         lengths = rows.select("len")
-        hit = rows.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.tok", "t.tf").join(words, "tok")
+        hit = lambda rows: rows.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.tok", "t.tf")
     else:
-        lengths, hit = index.groupBy("doc").agg(F.first("len").alias("len")), index.join(words, "tok", "left_semi")
+        rows, hit = cut(index.join(words, "tok", "left_semi"), "bm25-hits"), lambda rows: rows
+        lengths = index.groupBy("doc").agg(F.first("len").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = totals.n, totals.avg or 1.0
-    hit = cut(hit, "bm25-hits")
-    idf = hit.groupBy("tok").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
-    idf = small(cut(idf, "bm25-idf"))
-    part = F.col("qf") * F.col("idf") * weighed(F.col("tf"), F.col("len"), avg, k1, b)
-    return hit.join(idf, "tok").join(asked, "tok").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    idf = hit(rows).join(words, "tok").groupBy("tok").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
+    weights = small(cut(asked.join(idf, "tok").select("tok", "qid", (F.col("qf") * F.col("idf")).alias("factor")), "bm25-weights"))
+    part = F.col("factor") * weighed(F.col("tf"), F.col("len"), avg, k1, b)
+    # Rows are dealt by document before they meet the questions, so the sums need no shuffle of a row a question and document.
+    return hit(rows.repartition("doc")).join(weights, "tok").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame | None, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:

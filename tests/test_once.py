@@ -1,7 +1,7 @@
 """Work that is done once for a row, not anew for each of its parts."""
 import re
 
-from incipit.operators import controls
+from incipit.operators import controls, retrieval
 from incipit.plans import text_queries
 
 
@@ -21,3 +21,14 @@ def test_term_found_once(spark, tmp_path):
     """The term is read from the text once, not for every sentence."""
     spark.createDataFrame([(1, "Ab cd. Ef gh. Ij cd.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert not re.search(r"contains\(lower\([^()]*\), lower\(", plan(text_queries.sentence_with_term(spark, str(tmp_path))))
+
+
+def test_scores_meet_by_document(spark):
+    """A row a question and document went through a shuffle before it was summed, many times the postings."""
+    docs = spark.createDataFrame([(1, "red apples and a red pear"), (2, "pears"), (3, None), (4, "the and")], "doc long, text string")
+    asked = spark.createDataFrame([(7, "red pears"), (8, "apples")], "qid long, query string")
+    scores = retrieval.bm25_scores(asked, docs)
+    assert not re.search(r"exchange hashpartitioning\(qid#\d+l?, doc#", scores._jdf.queryExecution().executedPlan().toString().lower())
+    assert sorted((r.qid, r.doc) for r in scores.collect()) == [(7, 1), (7, 2), (8, 1)]
+    rows = {r.doc: (r.len, [(t.tok, t.tf) for t in r.terms]) for r in retrieval.term_rows(docs).collect()}
+    assert rows == {1: (4, [("apple", 1), ("pear", 1), ("red", 2)]), 2: (1, [("pear", 1)]), 3: (0, []), 4: (0, [])}
