@@ -61,12 +61,13 @@ def examples(rows: DataFrame, used: DataFrame, limit: int = 4, most_lines: int =
 
 def topics(rows: DataFrame, n: int = 8) -> DataFrame:
     """book, chapter_no, topics: distinctive terms of each chapter against the other chapters of its book."""
-    key = F.to_json(F.struct("book", "chapter_no"))
-    p = rows.where("kind = 'paragraph'").select(key.alias("grp"), "book", "chapter_no", "text")
-    counts = cut(stats.term_counts(p.select("grp", "text")).join(p.select("grp", "book", "chapter_no").distinct(), "grp"), "skill-terms")
+    p = rows.where("kind = 'paragraph'").select(*KEY, "text")
+    # Paragraphs are dealt by chapter before they become terms: a chapter's terms are counted where they lie, without a shuffle of them.
+    counts = cut(stats.term_counts(p.repartition(*KEY), *KEY), "skill-terms")
     total = rows.groupBy("book").agg(F.countDistinct("chapter_no").alias("chapters"))
     df = counts.groupBy("book", "term").agg(F.count("*").alias("df"))
-    scored = counts.where("tf >= 3").join(df, ["book", "term"]).join(total, "book").select("grp", "term", "tf", (F.col("tf") * F.log(F.col("chapters") / F.col("df"))).alias("score"))
+    grp = F.to_json(F.struct("book", "chapter_no")).alias("grp")
+    scored = counts.where("tf >= 3").join(df, ["book", "term"]).join(total, "book").select(grp, "term", "tf", (F.col("tf") * F.log(F.col("chapters") / F.col("df"))).alias("score"))
     picked = stats.topics(scored, n)
     return picked.select(F.from_json("grp", "book string, chapter_no int").alias("g"), "topics").select("g.book", F.col("g.chapter_no").alias("chapter_no"), "topics")
 

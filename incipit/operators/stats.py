@@ -15,14 +15,16 @@ from incipit.functions import text as tx
 from incipit.scale import cut
 
 
-def term_counts(paragraphs: DataFrame) -> DataFrame:
-    """grp, term, tf: words of four letters or more and two-word phrases, without stopwords; paragraphs (grp, text)."""
+def term_counts(paragraphs: DataFrame, *keys: str) -> DataFrame:
+    """keys (grp, where none are named), term, tf: words of four letters or more and two-word phrases, without stopwords;
+    paragraphs (keys, text)."""
+    keys = keys or ("grp",)
     words = tx.matches(F.lower("text"), "[a-z][a-z-]{2,}")
     go = lambda w: ~w.isin(*tx.STOPWORDS)
     single = F.filter("w", lambda w: (F.length(w) >= 4) & go(w))
     pairs = F.filter(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull() & go(p["a"]) & go(p["b"]))
     phrases = F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return paragraphs.select("grp", words.alias("w")).select("grp", F.explode(F.concat(single, phrases)).alias("term")).groupBy("grp", "term").agg(F.count("*").alias("tf"))
+    return paragraphs.select(*keys, words.alias("w")).select(*keys, F.explode(F.concat(single, phrases)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(paragraphs: DataFrame, least_tf: int = 3) -> DataFrame:

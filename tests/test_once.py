@@ -1,7 +1,7 @@
 """Work that is done once for a row, not anew for each of its parts."""
 import re
 
-from incipit.operators import controls, retrieval
+from incipit.operators import controls, retrieval, skill, stats
 from incipit.plans import text_queries
 
 
@@ -32,3 +32,14 @@ def test_scores_meet_by_document(spark):
     assert sorted((r.qid, r.doc) for r in scores.collect()) == [(7, 1), (7, 2), (8, 1)]
     rows = {r.doc: (r.len, [(t.tok, t.tf) for t in r.terms]) for r in retrieval.term_rows(docs).collect()}
     assert rows == {1: (4, [("apple", 1), ("pear", 1), ("red", 2)]), 2: (1, [("pear", 1)]), 3: (0, []), 4: (0, [])}
+
+
+def test_terms_counted_by_chapter(spark):
+    """Terms went through a shuffle by chapter and term, and again to get their book's name; paragraphs are dealt by chapter now."""
+    rows = [("b", 1, "paragraph", "sorted trees, sorted trees and sorted trees"), ("b", 1, "code", "heap heap heap"), ("b", 2, "paragraph", "heap heap heap"), ("b", 2, "paragraph", "and trees"), ("c", 1, "paragraph", None)]
+    rows = spark.createDataFrame(rows, "book string, chapter_no int, kind string, text string")
+    p = rows.where("kind = 'paragraph'").select("book", "chapter_no", "text")
+    counts = stats.term_counts(p.repartition("book", "chapter_no"), "book", "chapter_no")
+    assert counts._jdf.queryExecution().executedPlan().toString().lower().count("exchange hashpartitioning") == 1
+    assert {(r.book, r.chapter_no, r.term): r.tf for r in counts.collect()}["b", 2, "heap"] == 3
+    assert sorted((r.book, r.chapter_no, r.topics) for r in skill.topics(rows).collect()) == [("b", 1, ["sorted trees"]), ("b", 2, ["heap"])]
