@@ -137,7 +137,7 @@ def prompts(spark, sf):
 
 def markdown_parts(spark, sf):
     """Conversations as Markdown, replies as listings with blank lines: read back, a part is a turn."""
-    flat = F.trim(F.regexp_replace("text", r"[^A-Za-z0-9.,]+", " "))
+    flat = F.trim(F.regexp_replace("text", r"[^\p{Alnum}.,]+", " "))
     fence = F.lit("```")
     part = F.when(F.col("role") == "assistant", F.concat(fence, F.lit("\n"), flat, F.lit("\n\nx\n\n"), flat, F.lit("\n"), fence)).otherwise(flat)
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("md"))
@@ -146,16 +146,16 @@ def markdown_parts(spark, sf):
 
 def latex_glossaries(spark, sf):
     """A LaTeX book of every document, its glossary naming the first word of each sentence; read back by chapter."""
-    w = tx.matches(F.regexp_replace("text", "[^A-Za-z0-9. ]+", " "), "[A-Z][a-z]+ [a-z]+")
+    w = tx.matches(F.regexp_replace("text", "[^\\p{Alnum}. ]+", " "), "[A-Z][a-z]+ [a-z]+")
     items = F.array_join(F.transform("w", lambda x: F.concat(F.lit("\\item["), F.split(x, " ")[0], F.lit(":] {\\em "), x, F.lit("} is it.\n"))), "")
     tex = F.concat(F.lit("front \\chapter{No}\\mainmatter \\chapter{The {\\em one} "), "doc_id", F.lit("} body\n\\section{Glossary}\\begin{description}\n"), items, F.lit("\\end{description}\n\\section{Exercises} \\item[no] none\n\\appendix \\chapter{Gone}"))
-    src = table(spark, sf, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0).select(F.col("doc_id").alias("book"), tex.alias("tex"))
+    src = table(spark, sf, "documents").select("doc_id", tx.once(w).alias("w")).where(F.size("w") > 0).select(F.col("doc_id").alias("book"), tex.alias("tex"))
     return markup.glossary(markup.latex_chapters(src)).select("book", F.col("chapter").cast("long").alias("chapter"), "chapter_title", F.col("k").cast("long").alias("k"), "term", "definition")
 
 
 def asciidoc_index(spark, sf):
     """Index questions of a book whose chapters are sources and whose paragraphs are documents that name their first words."""
-    clean = tx.squeezed(F.regexp_replace("text", "[^A-Za-z0-9., ]+", " "))
+    clean = tx.squeezed(F.regexp_replace("text", "[^\\p{Alnum}., ]+", " "))
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("source"), clean.alias("t")).withColumn("w", F.slice(tx.matches(F.col("t"), "[A-Za-z]{3,}"), 1, 2)).where(F.size("w") == 2)
     rows = d.select(F.col("source").alias("chapter"), F.concat(F.lit("On "), "source").alias("chapter_title"), F.col("doc_id").alias("block_no"), F.concat(F.lit("((("), F.array_join("w", ","), F.lit(")))"), "t").alias("raw"), F.col("t").alias("prose"))
     items = controls.items_from_anchors(markup.anchored(rows, markup.ASCIIDOC_INDEX, tx.asciidoc_term), "b", table(spark, sf, "benchmark").select(F.explode(F.transform(ascii_words(), F.lower)).alias("term")).distinct())
