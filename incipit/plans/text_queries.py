@@ -90,9 +90,9 @@ APART = {"é": "e\u0301", "ü": "u\u0308", "ä": "a\u0308", "ñ": "n\u0303", "ß
 
 def index_terms(spark, sf):
     """Index entries made of every three words of each document, and the spellings that are looked up."""
-    w = table(spark, sf, "documents").select("doc_id", ascii_words().alias("w")).where(F.size("w") >= 3)
+    w = table(spark, sf, "documents").select("doc_id", tx.once(ascii_words()).alias("w")).where(F.size("w") >= 3)
     at = F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)
-    w = w.select("doc_id", F.explode(F.transform(at, lambda k: F.struct(k.alias("k"), *[F.get("w", 3 * k + j).alias(f"w{j + 1}") for j in range(3)]))).alias("x")).select("doc_id", "x.*")
+    w = w.select("doc_id", "w", F.explode(at).alias("k")).select("doc_id", "k", *[F.get("w", 3 * F.col("k") + j).alias(f"w{j + 1}") for j in range(3)])
     entry = F.concat("w1", F.lit("!k@{\\bf "), "w2", F.lit("}|see{"), "w3", F.lit("}"))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
     return w.select("doc_id", "k", tx.latex_term(entry).alias("latex"), tx.asciidoc_term(F.concat_ws(", ", "w1", "w2")).alias("asciidoc"), joined(tx.index_variants("w1")).alias("index_variants"), joined(tx.term_variants("w1")).alias("term_variants"))
