@@ -64,16 +64,16 @@ def fidelity_tokens(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-BASE = "[^A-Za-z0-9.,\\n ]+"
+BASE = "[^\\p{Alnum}.,\\n ]+"
 THREE = "([A-Za-z]+) ([A-Za-z]+) ([A-Za-z]+)"
 
 
 def markup_texts(spark, sf):
     """LaTeX and Asciidoc written into every document, and read back as plain text."""
-    base = F.regexp_replace("text", BASE, " ")
-    tex = F.regexp_replace(base, THREE, r"\\emph{$1} {\\bf $2}\\index{$3!a}~``$3''--x\\_y\\footnote{$1} % gone $2" + "\n")
-    asc = F.regexp_replace(base, THREE, r"*$1* `$2` <<there,$3>>(((a,$2))) footnote:[$1]")
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.detex(tex)).alias("tex"), F.md5(tx.asciidoc_text(asc)).alias("asciidoc"))
+    base = table(spark, sf, "documents").select("doc_id", tx.once(F.regexp_replace("text", BASE, " ")).alias("base"))
+    tex = F.regexp_replace("base", THREE, r"\\emph{$1} {\\bf $2}\\index{$3!a}~``$3''--x\\_y\\footnote{$1} % gone $2" + "\n")
+    asc = F.regexp_replace("base", THREE, r"*$1* `$2` <<there,$3>>(((a,$2))) footnote:[$1]")
+    return base.select("doc_id", F.md5(tx.detex(tex)).alias("tex"), F.md5(tx.asciidoc_text(asc)).alias("asciidoc"))
 
 
 SQL_BASE = "regexp_replace(text, '[^A-Za-z0-9.,\\n ]+', ' ', 'g')"
