@@ -227,7 +227,7 @@ def composed_texts(spark, sf):
     t = F.col("text")
     for a, b in APART.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.nfc(t)).alias("digest"), F.length(tx.nfc(t)).alias("chars"))
+    return table(spark, sf, "documents").select("doc_id", tx.nfc(t).alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars"))
 
 
 def rag_contexts(spark, sf):
