@@ -20,11 +20,11 @@ def term_counts(paragraphs: DataFrame, *keys: str) -> DataFrame:
     paragraphs (keys, text)."""
     keys = keys or ("grp",)
     words = tx.matches(F.lower("text"), "[a-z][a-z-]{2,}")
-    go = lambda w: ~w.isin(*tx.STOPWORDS)
-    single = F.filter("w", lambda w: (F.length(w) >= 4) & go(w))
-    pairs = F.filter(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull() & go(p["a"]) & go(p["b"]))
-    phrases = F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return paragraphs.select(*keys, words.alias("w")).select(*keys, F.explode(F.concat(single, phrases)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    words = F.transform(words, lambda w: F.when(~w.isin(*tx.STOPWORDS), w))  # null for a stopword, which no phrase holds
+    single = F.filter("w", lambda w: F.length(w) >= 4)
+    phrases = F.array_compact(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    rows = paragraphs.select(*keys, tx.once(words).alias("w")).select(*keys, tx.once(F.concat(single, phrases)).alias("terms"))
+    return rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(paragraphs: DataFrame, least_tf: int = 3) -> DataFrame:
@@ -43,8 +43,8 @@ def topics(scored: DataFrame, n: int = 8, candidates: int = 2000) -> DataFrame:
     """
     pick = "array<struct<term:string,stems:array<string>>>"
     order = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("term"))
-    ranked = scored.withColumn("k", F.row_number().over(order)).withColumn("stems", F.transform(F.split("term", " "), tx.stem))
-    ranked = cut(ranked.select("grp", "k", "term", "stems"), "topics-ranked")
+    ranked = cut(scored.select("grp", F.row_number().over(order).alias("k"), "term"), "topics-ranked")
+    stems = F.transform(F.split("term", " "), tx.stem).alias("stems")
 
     def step(picked: Column, x: Column) -> Column:
         me = F.struct(x["term"].alias("term"), x["stems"].alias("stems"))
@@ -58,7 +58,7 @@ def topics(scored: DataFrame, n: int = 8, candidates: int = 2000) -> DataFrame:
 
     had, first, done = ranked.select("grp").distinct().withColumn("had", F.array().cast(pick)), 0, []
     while True:
-        some = ranked.where(F.col("k").between(first + 1, first + candidates)).select(F.col("grp").alias("_grp"), "k", "term", "stems")
+        some = ranked.where(F.col("k").between(first + 1, first + candidates)).select(F.col("grp").alias("_grp"), "k", "term", stems)
         some = some.groupBy("_grp").agg(F.sort_array(F.collect_list(F.struct("k", "term", "stems"))).alias("ts"))
         now = had.join(some, F.col("grp").eqNullSafe(F.col("_grp")), "left").select("grp", F.aggregate(F.coalesce("ts", F.array().cast("array<struct<k:int,term:string,stems:array<string>>>")), F.col("had"), step).alias("had"), (F.size("ts") == candidates).alias("more"))
         now = cut(now, "topics")
