@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.functions import text as tx
-from incipit.scale import cut
+from incipit.scale import cut, small
 
 
 def term_counts(paragraphs: DataFrame, *keys: str) -> DataFrame:
@@ -76,15 +76,22 @@ def vocabulary_df(docs: DataFrame) -> DataFrame:
 
 def defects(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, ligature_glyphs, broken_hyphenations, glued_words; texts (id, text), vocab (word), by semi-joins on the vocabulary."""
-    norm = texts.select("id", tx.plain("text").alias("t"))
-    hyphen = r"(?U)\b([A-Za-z]{2,})-\s+([a-z]{2,})\b"
-    joined = norm.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("t", F.lit(hyphen), F.lit(1)).alias("a"), F.regexp_extract_all("t", F.lit(hyphen), F.lit(2)).alias("b"))).alias("m"))
-    broken = joined.select("id", F.lower(F.concat("m.a", "m.b")).alias("word")).join(vocab, "word", "left_semi").groupBy("id").agg(F.count("*").alias("broken_hyphenations"))
-    long = norm.select("id", F.explode(tx.matches(F.lower("t"), "[a-z]+")).alias("word")).where(F.length("word") >= 7).groupBy("id", "word").agg(F.count("*").alias("times"))
-    unknown = long.join(vocab, "word", "left_anti")
-    cuts = unknown.select("id", "word", "times", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("k")).select("id", "word", "times", F.expr("substring(word, 1, k)").alias("head"), F.expr("substring(word, k + 1)").alias("tail"))
-    glued = cuts.join(vocab.withColumnRenamed("word", "head"), "head", "left_semi").join(vocab.withColumnRenamed("word", "tail"), "tail", "left_semi").select("id", "word", "times").distinct().groupBy("id").agg(F.sum("times").alias("glued_words"))
-    out = texts.select("id", tx.ligature_count(tx.plain("text")).cast("long").alias("ligature_glyphs")).join(broken, "id", "left").join(glued, "id", "left")
+    vocab = small(vocab)
+    norm = texts.select("id", tx.once(tx.plain("text")).alias("t"))
+    # A letter with none before it is found at less cost than a boundary of words.
+    hyphened = tx.matches(F.col("t"), r"(?U)(?<![A-Za-z])(?=[A-Za-z])\b[A-Za-z]{2,}+-\s+[a-z]{2,}+\b")
+    # Words are put in lower case, not texts; but where a dotted I or a Kelvin sign would become a letter of ASCII.
+    low = F.when(F.col("t").rlike("[\u0130\u212a]"), F.lower("t")).otherwise(F.col("t"))
+    long = F.transform(tx.matches(low, "[A-Za-z]{7,}"), F.lower)
+    norm = cut(norm.select("id", tx.ligature_count("t").cast("long").alias("ligature_glyphs"), hyphened.alias("hyphened"), long.alias("long")), "defects")
+    broken = norm.select("id", F.explode("hyphened").alias("m")).select("id", F.lower(F.regexp_replace("m", r"(?U)-\s+", "")).alias("word")).join(vocab, "word", "left_semi").groupBy("id").agg(F.count("*").alias("broken_hyphenations"))
+    unknown = norm.select("id", F.explode("long").alias("word")).join(vocab, "word", "left_anti")
+    # Words are taken apart once each, not in every text.
+    cuts = unknown.select("word").distinct().select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("k")).select("word", F.expr("substring(word, 1, k)").alias("head"), F.expr("substring(word, k + 1)").alias("tail"))
+    both = cuts.join(vocab.withColumnRenamed("word", "head"), "head", "left_semi").join(vocab.withColumnRenamed("word", "tail"), "tail", "left_semi")
+    both = small(cut(both.select("word").distinct(), "glued"), 500_000)
+    glued = unknown.join(both, "word", "left_semi").groupBy("id").agg(F.count("*").alias("glued_words"))
+    out = norm.select("id", "ligature_glyphs").join(broken, "id", "left").join(glued, "id", "left")
     return out.fillna(0, ["broken_hyphenations", "glued_words"])
 
 

@@ -164,8 +164,9 @@ def asciidoc_index(spark, sf):
 
 def defect_counts(spark, sf):
     """Broken and glued words, written into every document, against the words of the benchmark."""
-    broken = F.regexp_replace("text", "([a-z]{3,}) ([a-z]{3,})", "$1$2")
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.regexp_replace(broken, "([A-Za-z]{3})([a-z]{3,})", "$1- $2"), F.lit(" ﬁ "), broken).alias("text"))
+    broken = F.regexp_replace("text", "([a-z]{3,}+) ([a-z]{3,}+)", "$1$2")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.once(broken).alias("broken"))
+    texts = docs.select("id", F.concat(F.regexp_replace("broken", "([A-Za-z]{3})([a-z]{3,})", "$1- $2"), F.lit(" ﬁ "), "broken").alias("text"))
     vocab = cut(table(spark, sf, "benchmark").select(F.explode(tx.vocabulary("text")).alias("word")).distinct(), "vocabulary")
     return stats.defects(texts, vocab).select("id", "ligature_glyphs", "broken_hyphenations", "glued_words")
 
