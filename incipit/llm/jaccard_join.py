@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incipit.llm.components import components
-from incipit.scale import cut, small
+from incipit.scale import arrow_rows, cut, small
 
 SEED = 11
 #: A part of a sketch has two to the power of this many bits; few are set, and only those are worked on.
 PART_BITS = 20
+#: Rows of a batch for Python: whole texts, and pairs with both their sets.
+BATCH = 500
 
 
 @dataclass(frozen=True)
@@ -350,6 +352,12 @@ def linked_components(docs: DataFrame, classes: DataFrame, filed: DataFrame, rul
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), pair_limit: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _components(docs, rule, pair_limit)
+
+
+def _components(docs: DataFrame, rule: Rule, pair_limit: int) -> DataFrame:
+    """jaccard_components(); all Python work is done when it returns."""
     prints = cut(digests(docs), "jaccard-digests")
     counted = prints.where("digest IS NOT NULL").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "rows")).alias("m")  # the smallest doc_id, null last

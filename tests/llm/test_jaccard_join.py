@@ -131,3 +131,13 @@ def test_order_of_words_counts():
     a, b = jj.shingle_set("a b c d e", 4), jj.shingle_set("d c b a e", 4)
     assert len(a) == len(b) == 2 and not np.intersect1d(a, b).size
     assert jj.shingle_set("a b c d a b c d a b c", 4).size == 4
+
+
+def test_batches_for_python_are_small(spark, monkeypatch):
+    """op11: a batch held up to ten thousand texts, or pairs with both their sets, on both sides of a task."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, kept = spark.conf.get(name), jj.cut
+    monkeypatch.setattr(jj, "cut", lambda df, label: (seen.append(int(spark.conf.get(name))), kept(df, label))[1])
+    rows = [(k, "one two three four five six seven eight " + "x" * (k % 3)) for k in range(9)]
+    assert jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count() == 9
+    assert seen and max(seen) <= 500 and spark.conf.get(name) == before
