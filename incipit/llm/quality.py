@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from incipit.scale import BROADCAST_ROWS, cut, dropped, small, written
+from incipit.scale import BROADCAST_ROWS, cut, dropped, planned_once, small, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -187,11 +187,12 @@ def distance() -> Column:
     return F.expr(" + ".join(terms))
 
 
-def concentrated(fit: DataFrame, estimate: DataFrame, covered: float, hint) -> DataFrame:
-    """_group, start, centre, inverse, det after one concentration step; hint(frame) marks frames of a row an estimate."""
+def concentrated(fit: DataFrame, now: DataFrame, covered: float, hint) -> DataFrame:
+    """now after one concentration step of its active estimates, which stay active if their determinant falls; hint(frame) marks frames of
+    a row an estimate."""
     key = ["_group", "start"]
     # Sums are relative to the rounded centre, so that products stay small.
-    estimate = estimate.selectExpr(*key, "centre", "inverse", "ridge", "h", "transform(centre, c -> cast(round(c) as bigint)) as base")
+    estimate = now.where("active").selectExpr(*key, "centre", "inverse", "h", "transform(centre, c -> cast(round(c) as bigint)) as base")
 
     def placed(estimate: DataFrame) -> DataFrame:
         return fit.join(hint(estimate), "_group").withColumn("d", F.floor(F.log2(1 + F.greatest(distance(), F.lit(0.0))) * STEP).cast("int"))
@@ -201,14 +202,19 @@ def concentrated(fit: DataFrame, estimate: DataFrame, covered: float, hint) -> D
     counts = placed(estimate).groupBy(*key, "h", "d").agg(F.count("*").alias("n")).withColumn("upto", upto).where("upto >= h")
     edge = counts.groupBy(*key).agg(F.min(F.struct("d", "n", "upto")).alias("e")).selectExpr(*key, "e.d as edge", "e.n as tied", "e.upto - e.n as nearer")
     near = placed(estimate.join(hint(edge), key)).where("d <= edge")
-    products = {f"s{k}": f"x{k} - base[{k}]" for k in range(P)} | {f"c{i}_{j}": f"(x{i} - base[{i}]) * (x{j} - base[{j}])" for i, j in PAIRS}
-    parts = [f"sum({v}) filter (where d {on} edge) as {name}{part}" for name, v in products.items() for on, part in (("<", ""), ("=", "t"))]
-    sums = near.groupBy(*key).agg(F.expr("first(struct(base, ridge, h, tied, nearer)) as g"), *map(F.expr, parts)).selectExpr("*", "g.*")
-    sums = sums.selectExpr(*key, "base", "ridge", *[f"(coalesce({name}, 0) + coalesce({name}t, 0) * ((h - nearer) / tied)) / h as {name}" for name in products])
+    near = near.selectExpr(*key, "base", "h as _h", "tied", "nearer", "d = edge as _tie", *[f"x{k} - base[{k}] as y{k}" for k in range(P)])
+    products = {f"s{k}": f"y{k}" for k in range(P)} | {f"c{i}_{j}": f"y{i} * y{j}" for i, j in PAIRS}
+    parts = [f"sum(if({on}_tie, {v}, null)) as {name}{part}" for name, v in products.items() for on, part in (("not ", ""), ("", "t"))]
+    # What an estimate has once is grouped by: aggregates are whole numbers only, so rows are hashed, not sorted.
+    sums = near.groupBy(*key, "base", "_h", "tied", "nearer").agg(*map(F.expr, parts))
+    sums = sums.selectExpr(*key, "base", *[f"(coalesce({name}, 0) + coalesce({name}t, 0) * ((_h - nearer) / tied)) / _h as {name}" for name in products])
     spread = consistency(covered) / UNIT**2
     scatter = matrix_of(lambda i, j: f"(c{i}_{j} - s{i} * s{j}) * {spread!r}D" + f" + ridge[{i}]" * (i == j))
     centre = ", ".join(f"base[{k}] + s{k}" for k in range(P))
-    return sums.selectExpr(*key, f"array({centre}) as centre", f"{inverted(scatter)} as m").selectExpr(*key, "centre", "m.a as inverse", "m.det as det")
+    new = now.join(hint(sums), key, "left").selectExpr(*now.columns, f"array({centre}) as new_centre", f"if(base is null, null, {inverted(scatter)}) as m")
+    new = new.selectExpr("*", "m.a as new_inverse", "m.det as new_det", f"coalesce(m.det < det * {1 - LEAST_FALL!r}D, false) as falls")
+    taken = [F.when(F.col("falls"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "det")]
+    return new.select(*key, "ridge", "h", *taken, F.col("falls").alias("active"))
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -241,20 +247,20 @@ def cutoff(tail: float) -> float:
 
 def fitted(rows: DataFrame, covered: float = COVERED, least_group: int = 50, most_steps: int = 200) -> DataFrame:
     """The estimate of each group: concentration steps from every start until its determinant no longer falls, then the least."""
-    spark, key = rows.sparkSession, ["_group", "start"]
+    with planned_once(rows.sparkSession):
+        return _fitted(rows, covered, least_group, most_steps)
+
+
+def _fitted(rows: DataFrame, covered: float, least_group: int, most_steps: int) -> DataFrame:
     fit = cut(rows.where(~F.col("_q.base_failed") & F.col("_group").isNotNull()).select(F.explode("_fit").alias("_group"), *[f"x{k}" for k in range(P)]), "mcd-fit")
     now, path = written(starts(fit, covered, least_group), "mcd-step")
     # Every step has a row a group and start, as the first has; so its size is proven once.
     hint = F.broadcast if now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
     for _ in range(most_steps):
-        active = now.where("active")
-        if active.isEmpty():
+        if now.where("active").isEmpty():
             break
-        new = concentrated(fit, active, covered, hint).select(*key, *[F.col(c).alias(f"new_{c}") for c in ("centre", "inverse", "det")])
-        falls = F.coalesce(F.col("new_det") < F.col("det") * (1 - LEAST_FALL), F.lit(False))
-        taken = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "det")]
-        after, to = written(now.join(new, key, "left").select(*key, "ridge", "h", *taken, falls.alias("active")), "mcd-step")
-        dropped(spark, path)
+        after, to = written(concentrated(fit, now, covered, hint), "mcd-step")
+        dropped(rows.sparkSession, path)
         now, path = after, to
     else:
         raise RuntimeError(f"the determinants still fall after {most_steps} steps")

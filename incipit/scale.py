@@ -69,6 +69,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside keep the plan they begin with. Loops of many small jobs gain nothing from adaptive plans, which are made,
+    compiled and kept anew after every shuffle and broadcast: that is the driver's memory."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

@@ -205,3 +205,28 @@ def test_small_groups_are_judged(spark, sizes):
     out = q.judged(q.with_statistics(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"))).collect()
     assert len(out) == len(rows) and all(x._distance is not None for x in out)
     assert {x.doc_id for x in out if not x._kept} == {f"{lang}0" for lang, n in sizes.items() if n > 2}
+
+
+def test_steps_are_planned_once_and_not_sorted(spark, monkeypatch):
+    """The pipeline's driver ran out of memory in the rules stage: steps were planned anew after each of their shuffles and broadcasts, and
+    sorted their rows. The caller's setting comes back, also after an error."""
+    name, seen, write = "spark.sql.adaptive.enabled", [], q.written
+
+    def watched(df, label):
+        seen.append((spark.conf.get(name), df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(q, "written", watched)
+    rows = vectors_frame(spark, np.random.default_rng(7).normal(size=(120, 5)))
+    before = spark.conf.get(name)
+    q.fitted(rows)
+    steps = seen[1:]  # the first makes the starts
+    assert len(steps) > 1 and before == spark.conf.get(name) == "true"
+    for adaptive, plan in steps:
+        assert adaptive == "false" and "AdaptiveSparkPlan" not in plan
+        sums = plan[: plan.index("Window")].split("HashAggregate")
+        assert len(sums) > 2 and "y4" in plan
+        assert not re.search(r"SortAggregate\(key=\[_group#\d+, start#\d+\], functions=\[(partial_)?first", plan)
+    with pytest.raises(RuntimeError, match="still fall"):
+        q.fitted(rows, most_steps=1)
+    assert spark.conf.get(name) == "true"
