@@ -1,6 +1,8 @@
 """Work that is done once for a row, not anew for each of its parts."""
 import re
 
+from pyspark.sql import functions as F
+
 from incipit.operators import controls, retrieval, skill, stats
 from incipit.plans import text_queries
 
@@ -43,3 +45,14 @@ def test_terms_counted_by_chapter(spark):
     assert counts._jdf.queryExecution().executedPlan().toString().lower().count("exchange hashpartitioning") == 1
     assert {(r.book, r.chapter_no, r.term): r.tf for r in counts.collect()}["b", 2, "heap"] == 3
     assert sorted((r.book, r.chapter_no, r.topics) for r in skill.topics(rows).collect()) == [("b", 1, ["sorted trees"]), ("b", 2, ["heap"])]
+
+
+def test_systems_against_one_reference(spark):
+    """Tokens of every system and of as many copies of the reference were shuffled; a text's lines were made for each of its listings."""
+    texts = spark.createDataFrame([("b", 1, "x", "a b b c", "b b a d"), ("b", 1, "y", "", "b b a d"), ("b", 2, "x", "q", "q q"), ("b", 2, "y", "q q q", "q q")], "book string, number int, system string, text string, reference string")
+    tokens = lambda c: texts.select("system", "book", "number", F.explode(F.split(c, " ")).alias("token")).where("token <> ''")
+    want = {r.system: r for r in stats.prf(tokens("text"), tokens("reference"), ["book", "number", "token"], ["system"]).collect()}
+    got = {r.system: r for r in stats.prf_texts(texts, ["book", "number"], "system", ["x", "y"]).collect()}
+    assert {k: (r.tp, r.predicted, r.gold, r.precision, r.recall, r.f1) for k, r in got.items()} == {k: (r.tp, r.predicted, r.gold, r.precision, r.recall, r.f1) for k, r in want.items()}
+    codes = spark.createDataFrame([("x", "if a:\n    b\nc\nd", ["if a:\n    b", "c\nd", "c\ne", "one"]), ("y", "z", ["c"])], "id string, extracted string, codes array<string>")
+    assert [tuple(r) for r in stats.code_shares(codes).collect()] == [("x", 3, 1, 0.6667, 1.0)]
